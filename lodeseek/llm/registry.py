@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import ann, chat, langid, packing, quality, topk, warc
 
 QUERIES = {
+    "op1_language_id": langid.query,
+    "op3_exact_top_k": topk.query,
     "op4_quality_classifier": quality.query,
     "op6_packing": packing.query,
+    "op7_warc": warc.query,
+    "op9_nearest_neighbours": ann.query,
+    "op10_chat_formatting": chat.query,
+}
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": topk.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}
