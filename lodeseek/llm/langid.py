@@ -40,11 +40,12 @@ UND = "und"
 
 
 def trigram_buckets(text: str) -> np.ndarray:
-    """The bucket of each three characters of the text in lower case, with a space before and after."""
+    """The bucket of each three characters of the text in lower case, with a space before and after; none with a digit, for numbers and keys have no language."""
     c = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
-    return h >> np.uint32(16)
+    digit = c - np.uint32(48) < 10
+    return (h >> np.uint32(16))[~(digit[:-2] | digit[1:-1] | digit[2:])]
 
 
 def counting(langs: list[str]):
