@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -51,3 +52,14 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Up to so many ids (16 MB of longs) are broadcast; a longer list goes through a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi", id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is (left_semi) or isn't (left_anti) among ids, a written table of distinct ids whose size is checked first."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_pick"))
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_pick"), how)
