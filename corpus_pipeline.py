@@ -1,15 +1,18 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet in the shared
-folder and read again, so a lost executor costs at most a stage's own tasks.
+folder and read again, so a lost executor costs at most a stage's own tasks. All
+stages but the last return the columns of documents and nothing else; extra
+columns of the input are left behind at the first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeseek.llm import packing, quality
-from lodeseek.llm.common import Scratch, table
+from lodeseek.llm import langid, minhash, packing, quality, substrings
+from lodeseek.llm.common import Scratch, pick, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can't express the fitted stages; tests hold the pipeline against a brute-force version.
@@ -17,9 +20,44 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of the top grade is under a half."""
+    """Drops documents whose probability of the top grade, good and clean, is under a half; and those without words."""
     model = quality.train(docs, quality.grades(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("kept").select(*COLUMNS)
+    return quality.score(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are in none of the known languages, or in none with a posterior of a half; lang becomes the language found."""
+    langs, model = langid.fit(docs)
+    scratch = Scratch(spark, "language")
+    found = langid.identify(langid.of_documents(docs), langs, model, ["doc_id", "page_id"], scratch)
+    found = scratch.save(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("lang").alias("found"), F.max("kept").alias("kept")), "found")
+    # what changes is short: documents to drop, and those whose lang is another
+    known = docs.select("doc_id", "lang").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    drop = scratch.save(known.where("not kept").select("doc_id").distinct(), "drop")
+    relabel = scratch.save(known.where("kept and not (lang <=> found)").select(F.col("doc_id").alias("_id"), "found").distinct(), "relabel")
+    kept = pick(docs, drop, "left_anti")
+    small = relabel.count() <= 100_000
+    out = kept.join(F.broadcast(relabel) if small else relabel, F.col("doc_id") == F.col("_id"), "left")
+    return out.withColumn("lang", F.coalesce("found", "lang")).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated."""
+    scratch = Scratch(spark, "near")
+    found = minhash.near_duplicates(docs, scratch)
+    drop = scratch.save(found.where("not kept").select("doc_id").distinct(), "drop")
+    return pick(docs, drop, "left_anti").select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 100 bytes and more that also stand earlier; drops documents of which nothing is left.
+
+    Half a character at the edge of a cut goes too, so what stays is text.
+    """
+    got = substrings.deduplicate(docs, Scratch(spark, "substrings"), keep=("lang", "source", "n_chars"))
+    whole = F.col("n_removed") == 0
+    left = got.where(whole | (F.length("kept_text") > 0))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +67,18 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", substring_stage),
     ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
+    for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        if i:
-            scratch.drop(STAGES[i - 1][0].replace(" ", "_"))
+        if last:
+            scratch.drop(last)
+        last = name.replace(" ", "_")
     return docs

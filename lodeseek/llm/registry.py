@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, langid, minhash, packing, quality, subword, topk, warc
+from . import ann, chat, langid, minhash, packing, quality, substrings, subword, topk, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sentencepiece": subword.query,
     "op6_packing": packing.query,
     "op7_warc": warc.query,
+    "op8_substring_dedup": substrings.query,
     "op9_nearest_neighbours": ann.query,
     "op10_chat_formatting": chat.query,
 }
