@@ -10,11 +10,12 @@ similarity of 0.75 meets in some table but for a chance of 1e-4.
 Two classes can only meet in a table if they share an A entry and a B entry;
 so entries that no other class has are dropped before any table key is made.
 
-In a table's bucket every class is first checked against the bucket's smallest,
-which is linear in its size. After components are known, each class that is still
-apart from its bucket's smallest is checked, over all of its buckets, against
-every member of another component, and passed on if the two share several tables.
-Links are confirmed on the full sets, and components recomputed.
+In a table's bucket every class is compared with one head, the class whose entries
+are the most common; in a family of copies that is the copy nearest to all, so
+the work is linear in the family's size. Mates of one head that are in different
+components after that may still be similar to each other. They are paired only
+where exact bounds, from what each shares with the head and which shingles beyond
+it they share, allow 0.75, and then compared on their full sets as well.
 
 Nulls and ties: a null or wordless text has an empty set, and is linked with
 nothing. A null doc_id is linked with nothing and gets a null component and kept.
@@ -37,8 +38,6 @@ from .graph import components
 
 WORDS = 5
 M, R = 12, 2
-#: How many of the M * M tables a pair must share to be verified in the second pass; at 0.75 it shares 45 on average, under 4 in 1 of 6,000.
-LEAST_TABLES = 4
 SIMILAR = 75
 WORD_CACHE = 500_000
 DOCS_AT_ONCE = 400
@@ -111,33 +110,57 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, DOCS_AT_ONCE), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["doc_id", "shingles"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """pairs: a, b. Those at SIMILAR or above on their full sets, as u, v."""
+def compared(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pairs: a, b. A written table of a, b, na, nb (set sizes), common (shingles in both) and rest (b's shingles that a hasn't), on full sets."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}_ids")
     sets = scratch.save(pick(docs, ids).mapInArrow(full_sets, "doc_id long, shingles array<long>"), f"{name}_sets")
     one = lambda c: sets.select(F.col("doc_id").alias(f"_{c}"), F.col("shingles").alias(f"s{c}"))
     j = pairs.join(one("b"), F.col("b") == F.col("_b")).join(one("a"), F.col("a") == F.col("_a"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = j.where(100 * common >= SIMILAR * (F.size("sa") + F.size("sb") - common))
-    out = scratch.save(linked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}_links")
+    rest = F.array_except("sb", "sa")
+    out = j.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), rest.alias("rest")).withColumn("common", F.col("nb") - F.size("rest"))
+    out = scratch.save(out, f"{name}_compared")
     scratch.drop(f"{name}_ids", f"{name}_sets")
     return out
 
 
-def apart(keyed: DataFrame, labels: DataFrame, like) -> DataFrame:
-    """Pairs of one bucket in different components that share enough tables to be similar.
+def linked(t: DataFrame) -> DataFrame:
+    """Of compared pairs those at SIMILAR or above, as u, v."""
+    return t.where(100 * F.col("common") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    In each bucket those outside its largest component meet all members, so a
-    bucket that is one component, however large, makes no pair.
+
+def apart(star: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of one head's bucket mates in different components that could be similar, judged by exact bounds.
+
+    For mates x, y of a head, what they have in common is at most the lesser of
+    what each has in common with the head, and what they share of their rests.
+    Two mates thus need a rest shingle in common, or overlaps with the head that
+    alone suffice. Mates outside the largest component meet the others; mates whose
+    own shared shingles can't suffice with anyone are left out before they meet.
     """
-    l = keyed.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    parts = l.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"))
-    l = l.join(parts.where("parts > 1").select(F.col("key").alias("_key"), "main"), F.col("key") == F.col("_key"))
-    y = l.where("label <> main").select(F.col("key").alias("ykey"), F.col("rep").alias("yrep"), F.col("n").alias("yn"), F.col("label").alias("ylabel"))
-    once = (F.col("label") == F.col("main")) | (F.col("yrep") < F.col("rep"))
-    pairs = l.join(y, (F.col("key") == F.col("ykey")) & (F.col("label") != F.col("ylabel")) & once & like(F.col("n"), F.col("yn")))
-    found = pairs.groupBy(F.least("rep", "yrep").alias("a"), F.greatest("rep", "yrep").alias("b")).agg(F.count("*").alias("c"))
-    return found.where(F.col("c") >= LEAST_TABLES).select("a", "b")
+    x = star.select("a", "b", F.col("nb").alias("n"), F.col("common").alias("c"), "rest").join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("label", "b")).drop("node")
+    parts = x.groupBy("a", "label").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("mates"))
+    parts = parts.where("parts > 1").select(F.col("a").alias("_a"), "main", "mates")
+    x = x.join(parts, F.col("a") == F.col("_a")).drop("_a").withColumn("head", F.struct((-F.col("mates")).alias("k"), F.col("a").alias("i"))).drop("mates")
+    heads = x.groupBy(F.col("b").alias("_b")).agg(F.collect_set("head").alias("heads"))
+    x = scratch.save(x.join(heads, F.col("b") == F.col("_b")).drop("_b"), "mates")
+    ask = lambda t: t.where("label <> main").select(*[F.col(c).alias(f"y_{c}") for c in t.columns])
+    differ = (F.col("a") == F.col("y_a")) & (F.col("label") != F.col("y_label")) & ((F.col("label") == F.col("main")) | (F.col("y_b") < F.col("b")))
+    here = F.array_min(F.array_intersect("heads", "y_heads")) == F.col("head")  # a pair meets at its largest head only
+    need = 3 * (F.col("n") + F.col("y_n"))  # of 7 times what is in common, at 0.75
+    least = F.least("c", "y_c")
+    pair = [F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b")]
+    bare = x.drop("rest")
+    by_head = bare.join(ask(bare), differ & (7 * least >= need) & here).select(*pair)
+
+    s = x.select("a", "b", "n", "c", "label", "main", "head", "heads", F.explode("rest").alias("s"))
+    both = s.groupBy("a", "s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select(F.col("a").alias("_a"), F.col("s").alias("_s"))
+    s = s.join(both, (F.col("a") == F.col("_a")) & (F.col("s") == F.col("_s"))).groupBy("a", "b", "n", "c", "label", "main", "head", "heads").agg(F.collect_list("s").alias("rest"))
+    s = s.where(4 * (F.col("c") + F.size("rest")) >= 3 * F.col("n"))
+    s = scratch.save(s.select("a", "b", "n", "c", "label", "main", "head", "heads", F.size("rest").alias("z"), F.explode("rest").alias("s")), "rests")
+    enough = 7 * (least + F.least("z", "y_z")) >= need
+    met = s.join(ask(s), differ & (F.col("s") == F.col("y_s")) & enough & here).groupBy("a", "b", "y_b", "n", "y_n", "c", "y_c").agg(F.count("*").alias("r"))
+    by_rest = met.where(7 * (least + F.col("r")) >= need).select(*pair)
+    return by_head.unionByName(by_rest).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,23 +173,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     k = classes.select(F.col("set_key").alias("_key"), "rep")
     reps = signed.join(k, (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select("rep", F.col("n_shingles").alias("n"), "entries").dropDuplicates(["rep", "n", "entries"])
 
-    each = scratch.save(reps.select("rep", "n", F.posexplode("entries").alias("e", "entry")), "entries")
-    shared = each.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select(F.col("entry").alias("_entry"))
+    each = scratch.save(reps.select("rep", F.posexplode("entries").alias("e", "entry")), "entries")
+    shared = each.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select(F.col("entry").alias("_entry"), "c")
     side = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("e", "entry"))))
-    left = each.join(shared, F.col("entry") == F.col("_entry"), "left_semi").groupBy("rep", "n").agg(side(F.col("e") < M).alias("a"), side(F.col("e") >= M).alias("b"))
-    left = scratch.save(left.where((F.size("a") > 0) & (F.size("b") > 0)), "left")
-    keyed = left.select("rep", "n", F.explode("a").alias("x"), "b").select("rep", "n", "x", F.explode("b").alias("y"))
-    keyed = scratch.save(keyed.select("rep", "n", F.xxhash64("x.entry", "y.entry").alias("key")), "keyed")
-    scratch.drop("entries", "left")
-
-    like = lambda x, y: (100 * F.least(x, y) >= SIMILAR * F.greatest(x, y))  # noqa: E731  sizes alone allow it
-    heads = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("_key"), "head")
-    star = keyed.join(heads, F.col("key") == F.col("_key")).where((F.col("rep") > F.col("head.rep")) & like(F.col("n"), F.col("head.n")))
-    links = verified(star.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), docs, scratch, "star")
-    labels = components(links, scratch, "near")
-    more = verified(apart(keyed, labels, like), docs, scratch, "apart")
+    left = each.join(shared, F.col("entry") == F.col("_entry")).groupBy("rep").agg(F.sum("c").alias("known"), side(F.col("e") < M).alias("a"), side(F.col("e") >= M).alias("b"))
+    left = left.where((F.size("a") > 0) & (F.size("b") > 0))
+    keyed = left.select("rep", "known", F.explode("a").alias("x"), "b").select("rep", "known", "x", F.explode("b").alias("y"))
+    keyed = scratch.save(keyed.select("rep", "known", F.xxhash64("x.entry", "y.entry").alias("key")), "keyed")
+
+    heads = keyed.groupBy("key").agg(F.max(F.struct("known", -F.col("rep"))).alias("head"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("_key"), (-F.col("head.col2")).alias("head"))
+    star = keyed.join(heads, F.col("key") == F.col("_key")).where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    star = compared(scratch.save(star, "star"), docs, scratch, "star")
+    labels = scratch.save(components(linked(star), scratch, "near"), "labels")
+    more = linked(compared(scratch.save(apart(star, labels, scratch), "apart"), docs, scratch, "apart"))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more), scratch, "all")
+    scratch.drop("entries", "keyed", "mates", "rests", "star_compared")
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_key"), F.coalesce("label", "rep").alias("label"))
     out = signed.join(named, F.col("set_key") == F.col("_key"), "left")
