@@ -1,3 +1,9 @@
 """Lodeseek: full-text search and ranking on Spark DataFrames."""
 
+from .operators.snapshot import IndexSnapshot
+from .schema import FieldType, KeywordField, Schema, StoredField, TextField
+from .sources.memory import MemoryIndex
+from .sources.store import Index
+
 __version__ = "0.1.0"
+__all__ = ["FieldType", "Index", "IndexSnapshot", "KeywordField", "MemoryIndex", "Schema", "StoredField", "TextField", "__version__"]

@@ -1,0 +1,153 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodeseek import IndexSnapshot, KeywordField, MemoryIndex, Schema, StoredField, TextField
+from lodeseek.errors import AlreadyClosedError, SchemaError, TooManyTermsError
+from lodeseek.functions.bm25 import BM25
+from lodeseek.plans.query import BooleanClause, BooleanQuery, MatchAllQuery, Occur, PhraseQuery, PrefixQuery, TermQuery
+
+F1 = Schema({"body": TextField(stored=True)})
+T = lambda t: TermQuery("body", t)
+
+
+def B(*pairs):
+    return BooleanQuery(tuple(BooleanClause(Occur[o], q) for o, q in pairs))
+
+
+def memory(spark, texts, schema=F1):
+    m = MemoryIndex(spark, schema)
+    for t in texts:
+        m.add_document(**(t if isinstance(t, dict) else {"body": t}))
+    return m
+
+
+def ids(top):
+    return [h.local_doc_id for h in top.hits]
+
+
+def test_golden_scores(spark):
+    m = memory(spark, ["kafka", "kafka kafka kafka kafka", "kafka filler filler filler filler filler", "unrelated"])
+    top = m.search(T("kafka"), 2)
+    assert top.total_hits == 3 and ids(top) == [1, 0]
+    assert [round(h.score, 6) for h in top.hits] == [0.570680, 0.490428]
+    assert m.search(T("kafka"), 0).total_hits == 3 and m.search(T("kafka"), 0).hits == ()
+    assert m.search(T("nowhere")).total_hits == 0
+    with pytest.raises(ValueError):
+        m.search(T("kafka"), -1)
+
+
+def test_bm25_limits():
+    assert BM25().term_score(0, 1, 1, 1, 1) == BM25().term_score(1, 0, 1, 1, 1) == 0.0
+    assert round(BM25().term_score(1, 1, 1, 0, 0), 12) == 0.486846584149
+    for bad in ((0, 0.5), (float("inf"), 0.5), (1, -0.1), (1, 1.1)):
+        with pytest.raises(ValueError):
+            BM25(*bad)
+
+
+def test_occurs_phrases_prefixes(spark):
+    m = memory(spark, ["kafka", "kafka replicas", "replicas", "distributed the system", "distributed system", "application banana apple", "app apricot"])
+    got = lambda q: sorted(ids(m.search(q, 100)))
+    assert got(B(("SHOULD", T("kafka")), ("SHOULD", T("replicas")))) == [0, 1, 2]
+    assert got(B(("MUST", T("kafka")), ("SHOULD", T("replicas")))) == [0, 1]
+    assert got(B(("MUST_NOT", T("kafka")))) == []
+    assert got(B(("MUST", MatchAllQuery()), ("MUST_NOT", T("kafka")))) == [2, 3, 4, 5, 6]
+    assert got(PhraseQuery("body", ("distributed", "system"), (0, 2))) == [3]
+    assert got(PhraseQuery("body", ("distributed", "system"))) == [4]
+    assert got(PrefixQuery("body", "app")) == [5, 6] and got(PrefixQuery("body", "zz")) == []
+    snap = m.snapshot()
+    assert snap.terms_with_prefix("body", "app") == ["app", "apple", "application"]
+    with pytest.raises(TooManyTermsError):
+        snap.scored(PrefixQuery("body", "a"), max_terms=2)
+    assert {h.score for h in m.search(MatchAllQuery()).hits} == {0.0}
+    with pytest.raises(KeyError):
+        m.search(TermQuery("nope", "x"))
+
+
+def test_duplicate_clauses_count_twice_and_addition_is_in_order(spark):
+    s = Schema({"a": TextField(stored=True), "b": TextField(stored=True), "huge": TextField(stored=True, boost=1e16)})
+    m = memory(spark, [{"a": "x", "b": "x", "huge": "x"}, {"a": "y"}], s)
+    one = m.search(TermQuery("a", "x")).hits[0].score
+    assert m.search(B(("SHOULD", TermQuery("a", "x")), ("SHOULD", TermQuery("a", "x")))).hits[0].score == one + one
+    a, b, h = (m.search(TermQuery(f, "x")).hits[0].score for f in ("a", "b", "huge"))
+    q = lambda *f: m.search(B(*(("SHOULD", TermQuery(x, "x")) for x in f))).hits[0].score
+    assert q("a", "b", "huge") == ((0.0 + a) + b) + h and q("huge", "a", "b") == ((0.0 + h) + a) + b
+
+
+def test_both_plans_agree_on_random_queries(spark):
+    rng = random.Random(0xC0DE)
+    words = ["a", "b", "c", "d", "e", "f"]
+
+    def make(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.35:
+            return rng.choice([T(rng.choice(words)), MatchAllQuery(), PhraseQuery("body", tuple(rng.choices(words, k=2))), PhraseQuery("body", ("a", "b"), (0, 2))])
+        return B(*((rng.choice(["MUST", "SHOULD", "MUST_NOT"]), make(depth - 1)) for _ in range(rng.randint(1, 3))))
+
+    for _ in range(2):
+        m = memory(spark, [" ".join(rng.choices(words, k=rng.randint(0, 10))) for _ in range(rng.randint(1, 12))])
+        snap = m.snapshot()
+        for _ in range(9):
+            q = make(2)
+            pivot = {r[1]: r[2] for r in snap.scored(q).collect()}
+            joins = {r[1]: r[2] for r in snap.score_by_joins(q).collect()}
+            assert pivot == joins, q
+            assert {r[1] for r in snap.match(q).collect()} == set(pivot)
+
+
+def test_segments_deletions_and_statistics(spark):
+    docs = [(1, 0, "kafka kafka"), (1, 1, "rabbit"), (2, 0, "kafka replicas"), (2, 1, "")]
+    d = spark.createDataFrame(docs, "segment int, doc_id long, f_body string")
+    from lodeseek.operators import inversion as I
+
+    tables = {"postings": I.postings(d, F1), "norms": I.norms(d, F1), "stored": I.stored(d, F1)}
+    gone = spark.createDataFrame([(1, 1)], "segment int, doc_id long")
+    snap = IndexSnapshot(F1, tables, gone)
+    assert snap.num_live_docs == 3 and snap.max_doc == 4
+    assert snap.doc_frequencies({("body", "kafka"), ("body", "rabbit")}) == {("body", "kafka"): 2, ("body", "rabbit"): 0}
+    assert snap.stats.average_length("body") == 2.0 and snap.stats.average_length("x") == 0.0
+    assert snap.terms_with_prefix("body", "") == ["kafka", "rabbit", "replicas"]
+    assert [(h.segment_generation, h.local_doc_id) for h in snap.search(MatchAllQuery()).hits] == [(1, 0), (2, 0), (2, 1)]
+    assert snap.document(2, 0) == {"body": "kafka replicas"} and snap.field_length("body", 1, 0) == 2 and snap.field_length("body", 9, 9) == 0
+    with pytest.raises(KeyError):
+        snap.document(1, 1)
+    with pytest.raises(IndexError):
+        snap.document(7, 0)
+    clean = memory(spark, ["kafka kafka", "kafka replicas", ""])
+    assert [h.score for h in snap.search(T("kafka")).hits] == [h.score for h in clean.search(T("kafka")).hits]
+    snap.close()
+    snap.close()
+    with pytest.raises(AlreadyClosedError):
+        snap.search(T("kafka"))
+    assert I.validate(tables | {"stored": tables["stored"].where("segment = 1"), "postings": tables["postings"].where("segment = 1")}, 2) == []
+
+
+def test_highlights(spark):
+    s = Schema({"id": KeywordField(stored=True), "title": TextField(stored=True), "body": TextField(stored=True), "hidden": TextField(), "raw": StoredField()})
+    m = memory(spark, [{"id": "1", "title": "Kafka log", "body": "Kafka & follower replicas. <script> kafka kafka"}], s)
+    top = m.snapshot().search_text('"follower replicas" OR title:kafka', "body", 5, ("body", "title"))
+    assert dict(top.hits[0].highlights) == {"body": "Kafka &amp; <em>follower replicas</em>. &lt;script&gt; kafka kafka", "title": "<em>Kafka</em> log"}
+    got = m.snapshot().search_text("kafka -title:zzz", "body", 5, ("body",)).hits[0].highlights["body"]
+    assert got == "<em>Kafka</em> &amp; follower replicas. &lt;script&gt; <em>kafka</em> <em>kafka</em>"
+    got = m.snapshot().search_text('"kafka kafka" AND follo*', "body", 5, ("body",)).hits[0].highlights["body"]
+    assert got == "Kafka &amp; <em>follower</em> replicas. &lt;script&gt; <em>kafka kafka</em>"
+    for bad in (("id",), ("hidden",), ("raw",), ("nope",), ("body", "body")):
+        with pytest.raises(ValueError):
+            m.snapshot().search_text("kafka", "body", 5, bad)
+
+
+def test_only_strings_and_known_fields(spark):
+    with pytest.raises(SchemaError):
+        IndexSnapshot.of_documents(spark.createDataFrame([(1,)], "body int"), F1)
+    with pytest.raises(SchemaError):
+        IndexSnapshot.of_documents(spark.createDataFrame([("x",)], "other string"), F1)
+    snap = IndexSnapshot.of_documents(spark.createDataFrame([("x y",), (None,), ("y",)], "body string").repartition(2), F1)
+    assert sorted(r[1] for r in snap.documents.collect()) == [0, 1, 2]
+    assert snap.documents.select(F.count("f_body")).first()[0] == 2
+
+
+def test_odd_field_names(spark):
+    s = Schema({"doc_id": KeywordField(stored=True), "score": TextField(stored=True), "term": TextField(stored=True), "a b": TextField(stored=True)})
+    m = memory(spark, [{"doc_id": "7", "score": "one", "term": "two", "a b": "three"}], s)
+    assert dict(m.search(B(("MUST", TermQuery("score", "one")), ("MUST", TermQuery("a b", "three")))).hits[0].stored_fields) == {"doc_id": "7", "score": "one", "term": "two", "a b": "three"}
