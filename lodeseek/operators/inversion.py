@@ -54,6 +54,12 @@ def named(df: DataFrame, *more) -> DataFrame:
     return df.select(*more, *[F.col(f"`{c}`").alias(f"f_{c}") for c in df.columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions than those: a small table in one file would be analyzed by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_all_fields(df: DataFrame, schema: Schema) -> DataFrame:
     """The schema's columns, null where df has none."""
     have = set(df.columns)

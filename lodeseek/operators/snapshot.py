@@ -67,7 +67,7 @@ class IndexSnapshot:
             d = d.withColumn("segment", F.lit(segment))
         else:
             schema.check_columns(docs.drop(id_col).schema)
-            d = docs.select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col])
+            d = inversion.spread(docs).select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col])
         d = inversion.with_all_fields(d, schema)
         return cls(schema, {"postings": inversion.postings(d, schema), "norms": inversion.norms(d, schema), "stored": inversion.stored(d, schema)})
 
@@ -237,10 +237,8 @@ class IndexSnapshot:
         return self.search(parse_query(source, self.schema, default_field), top_k, highlight_fields)
 
     def batch_top(self, queries: Mapping[str, Query], top_k: int = 10) -> DataFrame:
-        """query_id, segment, doc_id, score, rank for many queries: one plan, a ranking window a query."""
-        each = [self.scored(q).select(F.lit(i).alias("query_id"), *DOC, "score") for i, q in sorted(queries.items())]
-        every = each[0]
-        for e in each[1:]:
-            every = every.unionByName(e)
+        """query_id, segment, doc_id, score, rank for many queries: one scan for all, then a ranking window."""
+        rewritten = {i: self.rewrite(q) for i, q in sorted(queries.items())}
+        every = compiler.scored_many(self.spark, rewritten, self.live_postings, self.documents, self._weights(BM25()))
         w = W.partitionBy("query_id").orderBy(F.desc("score"), *DOC)
         return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

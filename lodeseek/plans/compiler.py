@@ -127,16 +127,32 @@ def matching_nothing(query: Query) -> bool:
 def scored(spark: SparkSession, query: Query, postings: DataFrame, live: DataFrame, weights) -> DataFrame:
     """segment, doc_id, score of all matches of a rewritten query.
 
-    postings, live: without deleted documents. weights(pairs) -> a function of
-    (field, term) giving (idf, boost, avgdl), and similarity(idf, tf, dl, avgdl).
+    postings, live: without deleted documents. weights(pairs) gives a function of
+    (field, term) to (idf, boost, avgdl), and similarity(idf, tf, dl, avgdl).
     """
-    empty = live.select(*DOC, F.lit(0.0).alias("score"))
-    if matching_nothing(query):
-        return empty.where(F.lit(False))
+    return scored_many(spark, {"": query}, postings, live, weights).select(*DOC, "score")
+
+
+def scored_many(spark: SparkSession, queries: dict[str, Query], postings: DataFrame, live: DataFrame, weights) -> DataFrame:
+    """query_id, segment, doc_id, score: one scan and one aggregation serve all the queries."""
+    queries = {i: q for i, q in queries.items() if not matching_nothing(q)}
+    if not queries:
+        return live.select(F.lit("").alias("query_id"), *DOC, F.lit(0.0).alias("score")).where(F.lit(False))
     slots = Slots()
-    ok, score = _compile(query, slots)
-    if not slots.leaves:
-        return empty.where(ok)
+    compiled = {i: _compile(q, slots) for i, q in queries.items()}
+    pivot = _pivot(spark, slots, postings, weights) if slots.leaves else None
+    if any(map(positive_match_all, queries.values())):
+        pivot = live.select(*DOC) if pivot is None else live.select(*DOC).join(pivot, list(DOC), "left")
+    elif pivot is None:
+        pivot = live.select(*DOC)
+    if len(compiled) == 1:
+        ((i, (ok, score)),) = compiled.items()
+        return pivot.where(F.coalesce(ok, F.lit(False))).select(F.lit(i).alias("query_id"), *DOC, score.alias("score"))
+    each = F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(i).alias("query_id"), score.alias("score"))) for i, (ok, score) in compiled.items()])
+    return pivot.select(*DOC, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.query_id", *DOC, "x.score")
+
+
+def _pivot(spark: SparkSession, slots: Slots, postings: DataFrame, weights) -> DataFrame:
     weigh, similarity = weights({(f, t) for f, t, _ in slots.leaves})
     rows = [(f, t, s, *weigh(f, t)) for f, t, s in slots.leaves]
     leaf = spark.createDataFrame(rows, "l_field string, l_term string, slot int, idf double, boost double, avgdl double")
@@ -157,7 +173,4 @@ def scored(spark: SparkSession, query: Query, postings: DataFrame, live: DataFra
             aggs.append(F.max(F.when(mine, F.col("w"))).alias(f"s{i}"))
         if kind == "phrase":
             aggs.append(F.max(F.when(mine, F.col("positions"))).alias(f"p{i}"))
-    pivot = j.groupBy(*DOC).agg(*aggs)
-    if positive_match_all(query):
-        pivot = live.select(*DOC).join(pivot, list(DOC), "left")
-    return pivot.where(F.coalesce(ok, F.lit(False))).select(*DOC, score.alias("score"))
+    return j.groupBy(*DOC).agg(*aggs)

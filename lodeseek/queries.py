@@ -18,6 +18,7 @@ from .functions.analysis import KeywordAnalyzer, StandardAnalyzer
 from .functions.bm25 import BM25
 from .functions.highlight import highlight
 from .operators import matching
+from .operators.inversion import spread
 from .operators.snapshot import IndexSnapshot
 from .plans.parser import parse_query
 from .plans.query import BooleanClause, BooleanQuery, MatchAllQuery, Occur, PhraseQuery, PrefixQuery, Query, TermQuery
@@ -165,7 +166,7 @@ def run_scored(q: Query, **how) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tokenize_standard(s: SparkSession, d: str) -> DataFrame:
-    t = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(StandardAnalyzer().column(F.col("text"))).alias("t"))
+    t = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", F.explode(StandardAnalyzer().column(F.col("text"))).alias("t"))
     return t.select("doc_id", "t.term", F.col("t.position").alias("pos"), F.col("t.start").alias("start_offset"), F.col("t.end").alias("end_offset"))
 
 
@@ -227,7 +228,7 @@ def _fetched(docs: IndexSnapshot) -> DataFrame:
 
 def highlighted(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
-        docs = s.read.parquet(f"{d}/documents.parquet")
+        docs = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
         return docs.select("doc_id", F.sha2(highlight(F.col("text"), q, "text"), 256).alias("html_sha256"))
 
     return run
