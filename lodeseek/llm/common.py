@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of whole texts in one Arrow batch: 10,000, Spark's own number, make buffers of tens of MB a task outside the heap, which pools keep.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package also where it isn't installed on them."""
+    """Let Python workers import this package also where it isn't installed on them, and keep the session's Arrow batches short."""
+    if not 0 < int(spark.conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
@@ -54,6 +65,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_ROWS = 500
+
+
+def release() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """For mapInArrow: gives run its batches in short slices, and afterwards the worker's free memory back to the system.
+
+    Workers outlive their tasks, so what one keeps adds to what the next needs.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(at, SMALL_ROWS) for b in batches for at in range(0, b.num_rows, SMALL_ROWS))
+        finally:
+            release()
+
+    return wrapped
+
+
 #: Up to so many ids (16 MB of longs) are broadcast; a longer list goes through a shuffle.
 BROADCAST_IDS = 2_000_000
 

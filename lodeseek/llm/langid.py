@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, ready, table
+from .common import Scratch, lean, ready, table
 
 BUCKETS = 1 << 16
 MAX_LANGS = 64
@@ -49,6 +49,7 @@ def trigram_buckets(text: str) -> np.ndarray:
 
 
 def counting(langs: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(langs), BUCKETS), dtype=np.int64)
         for b in batches:
@@ -78,6 +79,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 1500, id_col: str = "doc_id", te
 def likelihoods(model: np.ndarray):
     """Adds to rows (text first) the tempered log-likelihoods, relative to the largest."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros((b.num_rows, model.shape[1]))

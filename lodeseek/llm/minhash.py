@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, ready, table
+from .common import Scratch, lean, pick, ready, table
 from .graph import components
 
 WORDS = 5
 M, R = 12, 2
 SIMILAR = 75
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 DOCS_AT_ONCE = 400
 
 _rng = np.random.default_rng(8675309)
@@ -88,6 +88,7 @@ def entries(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@lean
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
@@ -101,6 +102,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, DOCS_AT_ONCE), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "entries"])
 
 
+@lean
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:

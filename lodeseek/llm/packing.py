@@ -15,6 +15,7 @@ packed as often as they occur. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import lean, ready, table
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -78,7 +79,14 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, opened
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> uint32 ids, as tokenizers gives them for byte_bpe_50k.json.
 
@@ -86,15 +94,13 @@ def encoder(path: str):
     as fast and gives the same ids; a text with a special token's string goes to
     tokenizers, which knows it. Any other vocabulary is left to tokenizers.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    exact = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    exact = lambda text: np.array(tokenizer_of(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     if path != str(public_tokenizers.path("byte_bpe_50k.json")):
         return exact
     import tiktoken
 
+    with open(path) as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -102,6 +108,7 @@ def encoder(path: str):
 
 
 def packer(window: int, end_id: int, path: str, bin_tokens: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4")
         base, ready_rows, pending, held, rows_tokens = TaskContext.get().partitionId() << 40, [], [], 0, 0

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import lean, ready, release, table
 
 BITS, TOP = 20, 2
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 PREFIXES = (4, 5, 6, 7)
 POWER = 0.25
 EDGE = re.compile(r"^\W+|\W+$")
@@ -69,10 +69,17 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((shapes, ids, own)), np.concatenate((shape_counts / len(kinds), counts / len(kinds) ** POWER, np.ones(len(own))))
 
 
+class Sparse(dict):
+    """Weights by bucket, 0 for the others."""
+
+    def __missing__(self, bucket: int) -> float:
+        return 0.0
+
+
 class Model:
-    """weights: a float per bucket; thresholds: in ascending order, one for each grade above 0."""
+    """weights: a float per bucket, or None; thresholds: in ascending order, one for each grade above 0."""
 
-    def __init__(self, weights: np.ndarray | None, thresholds: np.ndarray):
+    def __init__(self, weights: Sparse | np.ndarray | None, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
     def tails(self, score: float) -> list[float]:
@@ -94,7 +101,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int
     if not len(rows) or len(set(grades.tolist())) < 2:
         return Model(None, np.zeros(top))
     ids, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     above = grades[:, None] >= np.arange(1, top + 1)  # whether each tail holds
     known = screened(ids, row, above, least_chi2)[ids]  # the others would be learnt by heart
     val, row, (used, idx) = val[known], row[known], np.unique(ids[known], return_inverse=True)
@@ -117,27 +124,34 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int
         g = np.concatenate((np.bincount(idx, val * ds[row], n) + l2 * w, after[:1], after[1:] * gaps))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    weights = np.zeros(1 << BITS)
-    weights[used] = x[:n]
-    return Model(weights, x[n] + np.concatenate(([0], np.cumsum(np.exp(x[n + 1 :])))))
+    return Model(Sparse(zip(used.tolist(), x[:n].tolist(), strict=True)), x[n] + np.concatenate(([0], np.cumsum(np.exp(x[n + 1 :])))))
 
 
+@lean
 def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [vector(t or "") for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f8").tobytes() for f in found], pa.binary()), b.column(1)], names=["ids", "vals", "grade"])
+        ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+        flat = lambda i, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*(f[i] for f in found), np.zeros(0)]).astype(kind)))
+        yield pa.RecordBatch.from_arrays([flat(0, np.int32), flat(1, np.float32), *b.columns[1:]], names=["ids", "vals", "rid", "grade"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = 6000, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """ratings: id_col and an int grade. The sample, of at most sample_rows rows, is what is broadcast and collected."""
+    """ratings: id_col and an int grade. The sample, of at most sample_rows ids, is what is broadcast and collected."""
     ready(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("_rid"), F.col("grade").cast("int").alias("_grade")).where(F.col("_rid").isNotNull() & F.col("_grade").between(0, top))
     sample = rated.groupBy("_rid").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_rid"), "_rid").limit(sample_rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_rid")).select("_text", "_grade")
-    got = found.mapInArrow(featurize, "ids binary, vals binary, grade int").toArrow()
-    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f8"), g) for a, b, g in zip(*(c.to_pylist() for c in got.columns), strict=True) if a][: 2 * sample_rows]
-    rows.sort(key=lambda r: (r[0].tobytes(), r[1].tobytes(), r[2]))  # sums don't depend on the order of arrival
-    return fit([r[:2] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), top)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_rid")).select("_text", F.col("_rid").cast("long"), "_grade")
+    got = found.mapInArrow(featurize, "ids array<int>, vals array<float>, rid long, grade int").toArrow().combine_chunks()
+    ids, vals, rid, grade = (got[c].combine_chunks() for c in got.column_names)
+    flat, weights, ends = ids.flatten().to_numpy(), vals.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
+    rows = [(flat[a:e], weights[a:e]) for a, e in zip(ends, ends[1:], strict=False)]
+    # in the order of ids and contents, so that sums don't depend on the order of arrival
+    order = sorted((i for i in range(len(rows)) if len(rows[i][0])), key=lambda i: (rid[i].as_py(), rows[i][0].tobytes()))
+    model = fit([rows[i] for i in order], grade.to_numpy()[order].astype(np.int64), top) if order else fit([], np.zeros(0, dtype=np.int64), top)
+    del got, ids, vals, flat, weights, rows
+    release()
+    return model
 
 
 def scorer(model: Model, top: int):
@@ -153,6 +167,7 @@ def scorer(model: Model, top: int):
             self[word] = w = complex(sum(weights[b] for b in core), weights[shape])
             return w
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Weighed()
         for b in batches:

@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, ready, table
+from .common import Scratch, lean, pick, ready, table
 
 LENGTH, GRAM = 100, 32
 HALF = (LENGTH - GRAM) // 2
 CHUNK = 1 << 20
 #: A trigger with so many different phrases in one task is split by phrase.
 MANY = 32
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 8_000_000
 NULL_ID = -(2**63)
 PLAIN, REMOVED, SPLIT, MARKER = 0, 1, 2, 3
 
@@ -157,6 +157,7 @@ def routed(key, phrase, doc, place, shape, ends, many: int = MANY) -> pa.RecordB
     return rows_of(*(np.concatenate((x[keep], y)) for x, y in ((key, mark), (phrase, zero.view(np.uint64)), (doc, zero), (place, zero), (shape | flag, zero + MARKER), (ends, zero.view(np.uint64)))))
 
 
+@lean
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list = []
     size = 0
@@ -182,9 +183,10 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted parse rows in; out come removed windows (REMOVED), and (PLAIN) first occurrences of phrases whose trigger has others.
 
-    Carries only the last key and phrase, and one first occurrence of which it isn't known yet whether its trigger has others.
+    Carries only the last key, phrase and first place, and one first occurrence of which it isn't known yet whether its trigger has others.
     """
     last = None  # key, phrase and whether split, of the last row
+    lead_at = (0, 0)  # doc and place of the last phrase's first
     waiting: tuple | None = None
     for b in batches:
         cols = [c.to_numpy() for c in b.columns]
@@ -200,8 +202,13 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_key = np.concatenate(([key[0] != before[0] or split[0] != before[2]], (key[1:] != key[:-1]) | (split[1:] != split[:-1])))
         first = new_key | np.concatenate(([phrase[0] != before[1]], phrase[1:] != phrase[:-1]))
         last = (key[-1], phrase[-1], split[-1])
-        if not first.all():
-            late = [x[~first] for x in cols]
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        ours = lead >= 0
+        at = tuple(np.where(ours, cols[i][lead], lead_at[i - 2]) for i in (2, 3))
+        lead_at = (at[0][-1], at[1][-1])
+        again = ~first & ((cols[2] != at[0]) | (cols[3] != at[1]))  # a repeated row at the first's own place is no repeat
+        if again.any():
+            late = [x[again] for x in cols]
             late[4] = late[4] & ~255 | REMOVED
             yield rows_of(*late)
         cols, alone = [x[first] for x in cols], new_key[first]
@@ -245,10 +252,11 @@ def alike(phrases_: DataFrame) -> DataFrame:
     return p.where("_left or _right").select("key", "doc", "place", F.col("shape").bitwiseOR(F.when(F.col("_left"), 1).otherwise(0)).bitwiseOR(F.when(F.col("_right"), 2).otherwise(0)).alias("shape"))
 
 
+@lean
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, text, and its phrases (key, place, shape) in; out come their windows, each as a phrase of its own."""
+    held, rows = [], 0
     for b in batches:
-        held, rows = [], 0
         for doc, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             v = found.values
             key, place, shape = (v.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -264,11 +272,11 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 held.append((np.repeat(key, n)[which].view(np.uint64), window_prints(text, at) + far[which].astype(np.uint64) * BASE, np.full(len(at), doc, dtype=np.int64), at, np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)))
                 rows += len(at)
-            if rows >= 500_000:
+            if rows >= 200_000:
                 yield routed(*(np.concatenate(x) for x in zip(*held, strict=True)), many=1)
                 held, rows = [], 0
-        if held:
-            yield routed(*(np.concatenate(x) for x in zip(*held, strict=True)), many=1)
+    if held:
+        yield routed(*(np.concatenate(x) for x in zip(*held, strict=True)), many=1)
 
 
 def window_prints(text: bytes, at: np.ndarray) -> np.ndarray:
@@ -300,6 +308,7 @@ CUT_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept binary, kept_text
 CUT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
 
+@lean
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, spans and further columns in."""
     for b in batches:

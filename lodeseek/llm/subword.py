@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import lean, ready, table
 
 MARK = "▁"
 LONG = 48
@@ -265,6 +265,7 @@ class Encoder:
 
 
 def encoding(path: str, dropout: float, seed: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path), dropout)
         for b in batches:
@@ -284,6 +285,7 @@ def encoding(path: str, dropout: float, seed: int):
 
 
 def decoding(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:
