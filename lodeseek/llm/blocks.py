@@ -57,7 +57,7 @@ def search(vectors: DataFrame, is_query: Column, per_cell: Callable, k: int, sco
         ids, m = matrix(t.filter(pc.invert(t["q"])))
         got = per_cell(qi, q, ids, m) if len(qi) and len(ids) else ([], [], [])
         kind = pa.float64() if score_type == "double" else pa.int64()
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], kind)})
+        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2] if score_type == "double" else [max(-(2**63), min(s, 2**63 - 1)) for s in got[2]], kind)})
 
     best = cells.groupBy("block", "shard", "dims").applyInArrow(cell, CELL_SCHEMA.format(score=score_type))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

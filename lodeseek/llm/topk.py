@@ -8,7 +8,8 @@ it goes on: an unmet row might tie with a smaller id.) Where over half of a shar
 has been met, the rest is scored at once.
 
 Components become floor(scale * x) and scores are exact integers: in doubles
-where products can't leave their 53 bits, else in Python's integers.
+where products can't leave their 53 bits, else in Python's integers. A score that
+no long can hold is given as the nearest long.
 
 Nulls: vectors null, empty or holding null or non-finite components, and rows
 without an id, take no part. Vectors meet only those of their own length. Of rows
