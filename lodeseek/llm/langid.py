@@ -21,6 +21,7 @@ training rows every row is ``und``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,12 @@ def fit(docs: DataFrame, sample_per_lang: int = 1500, id_col: str = "doc_id", te
     """(languages, log-probabilities by bucket and language); the last column is und's: all trigrams alike."""
     ready(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where(F.col("_l").isNotNull() & F.col("_i").isNotNull())
-    langs = sorted(r[0] for r in known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGS).collect() if r[0] != UND)
-    ranked = known.where(F.col("_l").isin(langs)).select("_i", F.row_number().over(W.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")).alias("_r")).where(F.col("_r") <= sample_per_lang)
+    sizes = {r[0]: r[1] for r in known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGS).collect() if r[0] != UND}
+    langs = sorted(sizes)
+    # about one and a half times as many of each language as are wanted, by the range of their hash; only those are ranked
+    h = F.pmod(F.xxhash64("_i"), F.lit(1 << 30))
+    ahead = reduce(lambda c, x: c.when(F.col("_l") == x, h <= F.lit(min(1 << 30, (3 * sample_per_lang << 29) // sizes[x]))), langs, F.when(F.lit(False), False))
+    ranked = known.where(ahead).select("_i", F.row_number().over(W.partitionBy("_l").orderBy(h, "_i")).alias("_r")).where(F.col("_r") <= sample_per_lang)
     # at most MAX_LANGS * sample_per_lang ids: small enough to broadcast
     sample = known.join(F.broadcast(ranked.select("_i")), "_i", "left_semi").where(F.col("_l").isin(langs))
     got = sample.select("_t", "_l").mapInArrow(counting(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
