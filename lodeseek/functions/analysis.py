@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,6 +152,14 @@ class Analyzer:
         return reduce(lambda tokens, f: f.column(tokens), self.filters, made)
 
 
+def python_column(analyzer: Analyzer, text: Column) -> Column:
+    """Tokens of an analyzer with stages that have no Column form, by an Arrow-batched UDF."""
+    def analyze(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [(x.term, x.position, x.start, x.end) for x in analyzer.analyze(t)] for t in texts])
+
+    return F.pandas_udf(analyze, TOKEN_TYPE)(text)
+
+
 def StandardAnalyzer(stopwords: Iterable[str] = STOPWORDS) -> Analyzer:
     return Analyzer(StandardTokenizer(), (LowercaseFilter(), StopwordFilter(stopwords)))
 

@@ -204,6 +204,13 @@ class Segments:
                 out[name] = out[name].unionByName(df) if name in out else df
         return out
 
+    def verify(self, generation: int) -> None:
+        """All digests, and the tables' invariants by aggregates over them."""
+        about = self.describe(generation, deep=True)
+        wrong = inversion.validate(self.open(generation), about["max_doc"])
+        if wrong:
+            raise CorruptIndexError(f"segment {generation} has {', '.join(wrong)}")
+
     def tombstones(self, generation: int | None, sizes: Mapping[str, int] | None = None) -> DataFrame | None:
         if generation is None:
             return None
@@ -275,6 +282,11 @@ class Index:
 
         return IndexWriter(self, **options)
 
+    def verify(self) -> None:
+        """Reads every committed segment whole; CorruptIndexError if something doesn't fit."""
+        for g in self.manifest().segments:
+            self.segments.verify(g)
+
     def collect_garbage(self) -> tuple[str, ...]:
         """Removes complete segments that neither the manifest nor anyone in this process uses."""
         self._open()

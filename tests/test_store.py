@@ -122,6 +122,7 @@ def test_bulk_add_is_dense_and_equal(spark, index):
         assert sorted(x[1] for x in r.documents.collect()) == list(range(50))
         assert [h.stored_fields["id"] for h in r.search(MatchAllQuery(), 50).hits] == [str(i) for i in range(50)]
         assert r.search(TermQuery("body", "w3")).total_hits == 7
+        index.verify()
         plan = r.live_postings.where("field = 'body' and term = 'w3'")._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(term,w3)" in plan and "PartitionFilters" in plan
 
