@@ -55,7 +55,7 @@ class SegmentDescriptor:
 
 @dataclass(frozen=True)
 class Manifest:
-    """segments: generations in order. tombstones: a generation, or None."""
+    """segments: generations in order. tombstones: a generation, or None. batch: the last micro-batch of a stream that is in."""
 
     schema_fingerprint: str
     commit_generation: int = 0
@@ -63,6 +63,7 @@ class Manifest:
     tombstones: int | None = None
     tombstone_files: Mapping[str, int] = field(default_factory=dict)
     next_segment: int = 1
+    batch: int = -1
     format_version: int = FORMAT
 
     def __post_init__(self) -> None:

@@ -227,8 +227,8 @@ class IndexWriter:
         self._dirty = True
         return made
 
-    def commit(self) -> Manifest:
-        """Makes all of it what a restart sees."""
+    def commit(self, batch: int | None = None) -> Manifest:
+        """Makes all of it, and the number of the stream's batch that it holds, what a restart sees."""
         self._open()
         self.flush()
         for g in self._segments:
@@ -247,7 +247,7 @@ class IndexWriter:
                 dead.coalesce(1).write.parquet(self.index.files.at(tombstone_dir(tomb)))
                 sizes = {k: v for k, v in self.index.files.sizes(tombstone_dir(tomb)).items() if k.endswith(".parquet")}
                 deleted = [self.index.files.at(tombstone_dir(tomb))]
-        made = replace(now, commit_generation=now.commit_generation + 1, segments=tuple(self._segments), tombstones=tomb, tombstone_files=sizes, next_segment=max(self._next, now.next_segment))
+        made = replace(now, commit_generation=now.commit_generation + 1, segments=tuple(self._segments), tombstones=tomb, tombstone_files=sizes, next_segment=max(self._next, now.next_segment), batch=now.batch if batch is None else batch)
         self.index.publish(made)
         self._deleted, self._dirty = deleted, False
         return made

@@ -1,7 +1,7 @@
 """Continuous ingest: each micro-batch becomes one segment and one commit.
 
-A batch that comes again after a failure is known by its number, kept beside the
-manifest, and is not added twice.
+The commit's manifest holds the batch's number, so a batch is in together with
+its number or not at all; one that comes again after a failure is passed over.
 """
 
 from __future__ import annotations
@@ -9,29 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import Index, dumps
-
-
-def seen_batch(index: Index) -> int:
-    return index.files.read_json("ingest.json")["batch"] if index.files.exists("ingest.json") else -1
+from ..sources.store import Index
 
 
 def add_batch(index: Index, rows: DataFrame, batch: int) -> bool:
     """Adds and commits a batch unless it, or a later one, is in already."""
-    told = index.files.read_json("ingest.json") if index.files.exists("ingest.json") else {"batch": -1, "commit": 0, "pending": None}
-    committed = index.manifest().commit_generation
-    if told["pending"] is not None and committed > told["commit"]:  # committed, but stopped before that was noted
-        told = {"batch": told["pending"], "commit": committed, "pending": None}
-    if batch <= told["batch"]:
-        index.files.replace("ingest.json", dumps(told))
+    if batch <= index.manifest().batch:
         return False
     with index.writer() as w:
-        made = w.add_dataframe(rows)
-        if made:
-            index.files.replace("ingest.json", dumps(told | {"commit": committed, "pending": batch}))
-            committed = w.commit().commit_generation
-    index.files.replace("ingest.json", dumps({"batch": batch, "commit": committed, "pending": None}))
-    return bool(made)
+        w.add_dataframe(rows)
+        w.commit(batch)
+    return True
 
 
 def start(stream: DataFrame, index: Index, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -189,8 +189,10 @@ def test_stream_batches_are_added_once(spark, index, tmp_path):
     ingest.start(stream(), index, str(tmp_path / "cp")).awaitTermination()
     assert index.manifest().segments == (1, 2) and found(index.open_reader(), TermQuery("body", "b")) == ["1", "2"]
     again = spark.createDataFrame([("2", "b c")], "id string, body string")
-    assert not ingest.add_batch(index, again, ingest.seen_batch(index))
+    assert not ingest.add_batch(index, again, index.manifest().batch)
     assert index.manifest().segments == (1, 2)
+    with index.writer() as w:
+        assert w.commit().batch == 1
 
 
 def test_command_line(spark, tmp_path, capsys):
