@@ -141,7 +141,8 @@ def apart(star: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """
     x = star.select("a", "b", F.col("nb").alias("n"), F.col("common").alias("c"), "rest").join(labels, F.col("b") == F.col("node"), "left").withColumn("label", F.coalesce("label", "b")).drop("node")
     parts = x.groupBy("a", "label").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("mates"))
-    parts = parts.where("parts > 1").select(F.col("a").alias("_a"), "main", "mates")
+    # written, so that the join below has nothing but exchanges under it and a large head's rows can be split
+    parts = scratch.save(parts.where("parts > 1").select(F.col("a").alias("_a"), "main", "mates"), "parts")
     x = x.join(parts, F.col("a") == F.col("_a")).drop("_a").withColumn("head", F.struct((-F.col("mates")).alias("k"), F.col("a").alias("i"))).drop("mates")
     heads = x.groupBy(F.col("b").alias("_b")).agg(F.collect_set("head").alias("heads"))
     x = scratch.save(x.join(heads, F.col("b") == F.col("_b")).drop("_b"), "mates")
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     more = linked(compared(scratch.save(apart(star, labels, scratch), "apart"), docs, scratch, "apart"))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more), scratch, "all")
-    scratch.drop("entries", "keyed", "mates", "rests", "star_compared")
+    scratch.drop("entries", "keyed", "parts", "mates", "rests", "star_compared")
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_key"), F.coalesce("label", "rep").alias("label"))
     out = signed.join(named, F.col("set_key") == F.col("_key"), "left")
