@@ -242,12 +242,17 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.repartition(route).sortWithinPartitions(split, "key", "phrase", "doc", "place").mapInArrow(settle, SCHEMA)
 
 
-def alike(phrases_: DataFrame) -> DataFrame:
-    """Of phrases that share a trigger, those that also share HALF bytes on one side of it with a different phrase; ends keeps such sides."""
+def alike(phrases_: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of phrases that share a trigger, those that also share HALF bytes on one side of it with a different phrase, and on which side.
+
+    The lists of shared sides are written, so that the joins have nothing but
+    exchanges under them and a common line's rows can be split.
+    """
     side = {"left": F.shiftright("ends", 32), "right": F.col("ends").bitwiseAND(0xFFFFFFFF)}
     p = phrases_.select("*", *[v.alias(k) for k, v in side.items()])
     for k in side:
         n = p.where(f"{k} <> 0").groupBy(F.col("key").alias("_k"), F.col(k).alias("_e")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k", "_e")
+        n = scratch.save(n, f"shared_{k}")
         p = p.join(n, (F.col("key") == F.col("_k")) & (F.col(k) == F.col("_e")), "left").withColumn(f"_{k}", F.col("_k").isNotNull()).drop("_k", "_e")
     return p.where("_left or _right").select("key", "doc", "place", F.col("shape").bitwiseOR(F.when(F.col("_left"), 1).otherwise(0)).bitwiseOR(F.when(F.col("_right"), 2).otherwise(0)).alias("shape"))
 
@@ -326,7 +331,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs: doc, text (binary). A written table of doc and spans: where to cut."""
     first = scratch.save(settled(docs.mapInArrow(parse, SCHEMA)), "parse")
-    near = scratch.save(alike(first.where(flag_of() == PLAIN)), "near")
+    near = scratch.save(alike(first.where(flag_of() == PLAIN), scratch), "near")
     ids = scratch.save(near.select("doc").distinct(), "near_ids")
     by_doc = near.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("key", "place", "shape")).alias("found"))
     texts = pick(docs, ids, id_col="doc").join(by_doc, F.col("doc") == F.col("_doc")).select("doc", "text", "found")
@@ -335,7 +340,7 @@ def spans_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
     span = F.struct(start.alias("a"), (F.col("place") - F.shiftright("shape", 8).bitwiseAND(255) + LENGTH).alias("e"))
     removed = first.where(flag_of() == REMOVED).select("doc", "place", "shape").unionByName(second.select("doc", "place", "shape"))
     out = scratch.save(removed.groupBy("doc").agg(F.collect_set(span).alias("spans")), "spans")
-    scratch.drop("parse", "near", "near_ids")
+    scratch.drop("parse", "near", "near_ids", "shared_left", "shared_right")
     return out
 
 
