@@ -10,7 +10,8 @@ taken out of its host's count, and counts are integers, so results don't depend
 on the order of rows.
 
 The trigram models are fitted on a bounded sample: the ``sample_per_lang`` rows
-of each labelled language whose ids have the smallest hashes.
+of each labelled language whose ids have the smallest hashes. The ``MAX_LANGS``
+most common languages have models; it is a parameter for the size of the tables.
 
 Nulls: null or empty text has no likelihood and takes its host's prior; without
 a letter it is ``und``. A null host, declaration or suffix is no evidence and

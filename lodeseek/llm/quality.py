@@ -137,11 +137,11 @@ def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = 6000, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """ratings: id_col and an int grade. The sample, of at most sample_rows ids, is what is broadcast and collected."""
+    """ratings: id_col and an int grade. The sample, of at most sample_rows ids, is what is broadcast and collected; of a repeated id's texts the least is taken."""
     ready(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("_rid"), F.col("grade").cast("int").alias("_grade")).where(F.col("_rid").isNotNull() & F.col("_grade").between(0, top))
     sample = rated.groupBy("_rid").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_rid"), "_rid").limit(sample_rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_rid")).select("_text", F.col("_rid").cast("long"), "_grade")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), F.col("_id") == F.col("_rid")).groupBy(F.col("_rid").cast("long").alias("_rid"), "_grade").agg(F.min("_text").alias("_text")).select("_text", "_rid", "_grade")
     got = found.mapInArrow(featurize, "ids array<int>, vals array<float>, rid long, grade int").toArrow().combine_chunks()
     ids, vals, rid, grade = (got[c].combine_chunks() for c in got.column_names)
     flat, weights, ends = ids.flatten().to_numpy(), vals.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
