@@ -16,7 +16,7 @@ import re
 import threading
 import uuid
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,6 +313,3 @@ class Index:
 
     def __exit__(self, *_) -> None:
         self.close()
-
-
-__all__ = ["Index", "LifecycleDiagnostics", "Manifest", "Registry", "SegmentDescriptor", "Segments", "replace"]
