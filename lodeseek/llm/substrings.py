@@ -54,7 +54,8 @@ PLAIN, REMOVED, SPLIT, MARKER = 0, 1, 2, 3
 _rng = np.random.default_rng(1597463007)
 LANES = _rng.integers(1, 2**63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PLACE = np.uint64((1 << 20) - 1)
+#: Low bits of a hash that give way to a gram's place in its chunk; a chunk has LENGTH - GRAM grams more than CHUNK.
+PLACE = np.uint64((1 << 21) - 1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

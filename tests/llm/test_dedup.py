@@ -175,3 +175,35 @@ def test_long_documents_are_parsed_in_chunks(monkeypatch):
     a = substrings.window_prints(data, at)
     monkeypatch.setattr(substrings, "CHUNK", 1 << 20)
     assert np.array_equal(a, substrings.window_prints(data, at))
+
+
+def edge_document(n=3000):
+    """Over 1 MiB, with 100 bytes that repeat around the first chunk's end; and a short document that has them first."""
+    rng = np.random.default_rng(20)
+    letters = lambda k: rng.integers(97, 123, k, dtype=np.uint8).tobytes()
+    first, long = letters(2000), bytearray(letters(substrings.CHUNK + n))
+    for k, at in enumerate(range(substrings.CHUNK - 490, substrings.CHUNK + 480, 120)):
+        long[at : at + 100] = first[200 * k : 200 * k + 100]
+    return first, bytes(long)
+
+
+def test_windows_at_the_edge_of_a_real_chunk():
+    _, data = edge_document()
+    assert len(data) > 1 << 20
+    key, phrase, at, shape, ends = substrings.phrases(data)
+    before, after = shape >> 16, shape >> 8 & 255
+    assert (before >= after).all() and before.max() <= substrings.LENGTH - substrings.GRAM
+    assert np.array_equal(np.concatenate([np.arange(p - b, p - a + 1) for p, b, a in zip(at, before, after, strict=True)]), np.arange(len(data) - 99))
+    near = data[substrings.CHUNK - 700 :]  # the same place without an edge: the same trigger in each window
+    trigger = lambda x, shift: {s + shift: (k, p + shift) for k, p, y in zip(x[0].tolist(), x[2].tolist(), x[3].tolist(), strict=True) for s in range(p - (y >> 16), p - (y >> 8 & 255) + 1)}
+    whole, part = trigger((key, phrase, at, shape), 0), trigger(substrings.phrases(near), substrings.CHUNK - 700)
+    assert all(whole[s] == got for s, got in part.items())
+
+
+def test_repeats_across_the_edge_of_a_real_chunk_are_cut(spark):
+    first, data = edge_document()
+    rows = [(1, first.decode()), (2, data.decode())]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    want = plain_cut(rows)
+    assert want[2][2] == 9
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
