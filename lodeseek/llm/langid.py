@@ -10,8 +10,9 @@ taken out of its host's count, and counts are integers, so results don't depend
 on the order of rows.
 
 The trigram models are fitted on a bounded sample: the ``sample_per_lang`` rows
-of each labelled language whose ids have the smallest hashes. The ``MAX_LANGS``
-most common languages have models; it is a parameter for the size of the tables.
+of each labelled language whose ids have the smallest hashes. Every labelled
+language has a model. From ``CELLS`` / ``BUCKETS`` languages on all models get fewer
+buckets, so that together they stay within ``CELLS`` numbers.
 
 Nulls: null or empty text has no likelihood and takes its host's prior; without
 a letter it is ``und``. A null host, declaration or suffix is no evidence and
@@ -30,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, lean, ready, table
+from .common import BROADCAST_IDS, Scratch, lean, ready, table
 
 BUCKETS = 1 << 16
-MAX_LANGS = 64
+#: Of all models together, 8 bytes each: 128 languages with all buckets.
+CELLS = 1 << 23
 CHUNK = 400_000
 #: Trigrams of running text overlap and depend on each other: this share of their log-likelihood counts as independent.
 TEMPER = 0.25
@@ -41,22 +43,29 @@ VOTE_AT = 0.9
 UND = "und"
 
 
-def trigram_buckets(text: str) -> np.ndarray:
+def buckets_for(langs: int) -> int:
+    """A power of two."""
+    return min(BUCKETS, 1 << max(CELLS // max(langs, 1), 2).bit_length() - 1)
+
+
+def trigram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """The bucket of each three characters of the text in lower case, with a space before and after; none with a digit, for numbers and keys have no language."""
     c = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
     digit = c - np.uint32(48) < 10
-    return (h >> np.uint32(16))[~(digit[:-2] | digit[1:-1] | digit[2:])]
+    return (h >> np.uint32(33 - buckets.bit_length()))[~(digit[:-2] | digit[1:-1] | digit[2:])]
+
 
+def counting(langs: list[str], buckets: int):
+    number = {x: i for i, x in enumerate(langs)}
 
-def counting(langs: list[str]):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(langs), BUCKETS), dtype=np.int64)
+        counts = np.zeros((len(langs), buckets), dtype=np.int64)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[langs.index(lang)] += np.bincount(trigram_buckets(text or ""), minlength=BUCKETS)
+                counts[number[lang]] += np.bincount(trigram_buckets(text or "", buckets), minlength=buckets)
         lang, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[lang, at], pa.int64())], names=["lang", "bucket", "n"])
 
@@ -67,19 +76,20 @@ def fit(docs: DataFrame, sample_per_lang: int = 1500, id_col: str = "doc_id", te
     """(languages, log-probabilities by bucket and language); the last column is und's: all trigrams alike."""
     ready(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where(F.col("_l").isNotNull() & F.col("_i").isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGS).collect() if r[0] != UND}
-    langs = sorted(sizes)
+    sizes = {r[0]: r[1] for r in known.where(F.col("_l") != UND).groupBy("_l").count().collect()}
+    langs, buckets = sorted(sizes), buckets_for(len(sizes))
     # about one and a half times as many of each language as are wanted, by the range of their hash; only those are ranked
     h = F.pmod(F.xxhash64("_i"), F.lit(1 << 30))
     ahead = reduce(lambda c, x: c.when(F.col("_l") == x, h <= F.lit(min(1 << 30, (3 * sample_per_lang << 29) // sizes[x]))), langs, F.when(F.lit(False), False))
     ranked = known.where(ahead).select("_i", F.row_number().over(W.partitionBy("_l").orderBy(h, "_i")).alias("_r")).where(F.col("_r") <= sample_per_lang)
-    # at most MAX_LANGS * sample_per_lang ids: small enough to broadcast
-    sample = known.join(F.broadcast(ranked.select("_i")), "_i", "left_semi").where(F.col("_l").isin(langs))
-    got = sample.select("_t", "_l").mapInArrow(counting(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(langs), BUCKETS))
+    ids = ranked.select("_i")
+    small = sum(min(n, sample_per_lang) for n in sizes.values()) <= BROADCAST_IDS
+    sample = known.join(F.broadcast(ids) if small else ids, "_i", "left_semi").where(F.col("_l").isin(langs))
+    got = sample.select("_t", "_l").mapInArrow(counting(langs, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(langs), buckets))
     counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    share = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * BUCKETS)
-    return langs, np.ascontiguousarray(np.log(np.vstack((share, np.full((1, BUCKETS), 1 / BUCKETS))).T))
+    share = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * buckets)
+    return langs, np.ascontiguousarray(np.log(np.vstack((share, np.full((1, buckets), 1 / buckets))).T))
 
 
 def likelihoods(model: np.ndarray):
@@ -92,8 +102,8 @@ def likelihoods(model: np.ndarray):
             for i, text in enumerate(b.column(0).to_pylist()):
                 if text:
                     for at in range(0, len(text), CHUNK):
-                        grams = trigram_buckets(text[max(at - 1, 0) : at + CHUNK + 1])
-                        out[i] += model[grams].sum(0) if len(grams) < 2000 else np.bincount(grams, minlength=BUCKETS) @ model
+                        grams = trigram_buckets(text[max(at - 1, 0) : at + CHUNK + 1], len(model))
+                        out[i] += model[grams].sum(0) if len(grams) < 2000 else np.bincount(grams, minlength=len(model)) @ model
             out = TEMPER * (out - out.max(1, keepdims=True, initial=-np.inf)) if len(out) else out
             ends = pa.array(np.arange(b.num_rows + 1) * model.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[*b.schema.names[1:], "ll"])

@@ -137,3 +137,20 @@ def test_language_id_of_nothing_and_nulls(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "no url", "<p>text"), (3, "http://u@H.Example.DE:80/x", "<html lang=de><script>x</script>Wort")], "page_id long, url string, html string")
     p = {r.page_id: r for r in langid.of_pages(odd).collect()}
     assert (p[3].host, p[3].parent, p[3].suffix, p[3].declared, p[3].text.strip()) == ("h.example.de", "example.de", "de", "de", "Wort") and p[1].host is None and p[2].declared is None
+
+
+@pytest.mark.parametrize("cells", [langid.CELLS, 70 << 12])
+def test_every_labelled_language_has_a_model(spark, monkeypatch, cells):
+    """70 languages of words of their own, the rarest ones as short as three documents; 'und' is the commonest label."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    names, rows = [f"l{i:02d}" for i in range(70)], []
+    for i, name in enumerate(names):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+        rows += [(" ".join(rng.choice(words, 60)), name) for _ in range(3 + (70 - i) // 10)]
+    rows += [("12 34", "und")] * 30
+    docs = spark.createDataFrame([(i, t, None, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    langs, model = langid.fit(docs)
+    assert langs == names and model.shape == (langid.buckets_for(70), 71) and model.size <= max(cells, 71 << 12) + (1 << 16)
+    got = {r.doc_id: (r.lang, r.kept) for r in langid.identify(langid.of_documents(docs), langs, model, ["doc_id", "page_id"], Scratch(spark, "t")).collect()}
+    assert got == {i: (x, x != "und") for i, (_, x) in enumerate(rows)}
