@@ -1,7 +1,9 @@
 """Best-fit decreasing packing of tokenized documents into fixed windows.
 
-Each input partition is packed by itself, so there is no shuffle: a partition's
-rows are tokenized as they stream by, overlong documents are first cut into full
+Each partition is packed by itself, so there is no shuffle; small partitions are
+put together first, until there are ``PART_TOKENS`` for each, by the measured size of
+the table (a pass over the texts' lengths). So what the ends of partitions leave
+open doesn't grow with their number. A partition's rows are tokenized as they stream by, overlong documents are first cut into full
 windows (each a sequence of its own), and the rest pieces are kept until
 ``bin_tokens`` of them are there. They are then placed, longest first, into the
 open window with the least capacity that still suffices; a segment tree indexed
@@ -32,6 +34,10 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: About so many ids for each partition that is packed by itself: 1,000 windows of 2,048, of which its end leaves one or two open.
+PART_TOKENS = 2_000_000
+
+
 class CapacityTree:
     """Segment tree over capacities 0..window: which have an open window, and the least such one from a given length on."""
 
@@ -148,11 +154,19 @@ def packer(window: int, end_id: int, path: str, bin_tokens: int):
     return run
 
 
+def partitions_for(rows: DataFrame, text: str, per: int) -> int:
+    """How many partitions of per ids the rows can fill: about 4 bytes an id, and each document's end."""
+    n = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    return max(1, (n["bytes"] // 4 + n["rows"]) // per)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str | None = None, bin_tokens: int = 8_000_000) -> DataFrame:
     """One row per piece: its ids (little-endian uint32), where it lies in its document and in its sequence."""
     ready(df.sparkSession)
     path = str(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(packer(window, end_id, path, bin_tokens), SCHEMA)
+    rows = df.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t"))
+    rows = rows.coalesce(partitions_for(rows, "_t", min(bin_tokens, PART_TOKENS)))
+    return rows.mapInArrow(packer(window, end_id, path, bin_tokens), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

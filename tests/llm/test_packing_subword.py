@@ -65,6 +65,14 @@ def test_pieces_hold_each_id_once(spark):
     assert d[0, 0] == zlib.crc32(np.array([1], "<u4").tobytes())
 
 
+def test_padding_does_not_grow_with_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few, many = (packing.pack(table.repartition(n)).select("doc_id", "start", "length", "sequence_id").collect() for n in (1, 60))
+    windows = lambda rows: len({r.sequence_id for r in rows})
+    assert sorted((r.doc_id, r.start, r.length) for r in few) == sorted((r.doc_id, r.start, r.length) for r in many)
+    assert windows(many) == windows(few) < 1.02 * sum(r.length for r in many) / 2048 + 1
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(docs(spark).limit(0)).count() == 0
 
