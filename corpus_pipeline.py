@@ -42,11 +42,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated."""
+    """Keeps the document with the smallest id of each group of near-duplicates, once if its row is repeated.
+
+    Rows are repeated if id and text are the same; of other columns that differ, the
+    smallest stay. Rows without an id are linked with nothing, and all stay.
+    """
     scratch = Scratch(spark, "near")
     found = minhash.near_duplicates(docs, scratch)
     drop = scratch.save(found.where("not kept").select("doc_id").distinct(), "drop")
-    return pick(docs, drop, "left_anti").select(*COLUMNS)
+    kept = pick(docs, drop, "left_anti").select(*COLUMNS)
+    # only rows whose id is there again are shuffled with their texts
+    again = scratch.save(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = pick(kept, again).groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return pick(kept, again, "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

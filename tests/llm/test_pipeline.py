@@ -110,3 +110,12 @@ def test_entry_has_all_queries_and_lives_without_them(tmp_path):
     subprocess.run(["rm", "-r", str(tmp_path / "lodeseek/llm")], check=True)
     left = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert left.stdout.split()[-1] == "0"
+
+
+def test_repeated_rows_pass_the_near_duplicate_stage_once(spark):
+    text = "one two three four five six seven eight"
+    given = [(1, text, "en", "b", 39), (1, text, "en", "a", 39), (1, text, "en", "b", 39), (2, text, "en", "s", 39), (3, "another text of five words", "en", "s", 26), (4, "first of two texts here", "en", "s", 23), (4, "and this is the second one", "en", "s", 26), (5, "this has no words in common", None, None, None), (5, "this has no words in common", None, None, None), (None, "without any id at all", "en", "s", 21), (None, "without any id at all", "en", "s", 21)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([given[1], *given[4:8], *given[9:]], key=str)
