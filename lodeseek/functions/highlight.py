@@ -46,15 +46,23 @@ def escaped(c: Column) -> Column:
 
 
 def _phrase_spans(tokens: Column, p: PhraseQuery) -> Column:
-    """From a match's first start to its last end, the text between included."""
-    def at(t: Column, gap: int) -> Column:
-        return F.filter(tokens, lambda u: u["position"] == t["position"] + gap)
+    """From a match's first start to its last end, the text between included.
 
-    def has(t: Column, gap: int, term: str) -> Column:
-        return F.exists(at(t, gap), lambda u: u["term"] == term)
+    Tokens are in order, so the one that is gap places on is among the next gap. They
+    are bound to a variable: a lambda would make them anew for each of them.
+    """
+    def at(ts: Column, i: Column, gap: int) -> Column:
+        return F.filter(F.slice(ts, i + 1, F.lit(gap + 1)), lambda u: u["position"] == F.get(ts, i)["position"] + gap)
 
-    whole = F.filter(tokens, lambda t: reduce(lambda a, b: a & b, [has(t, g, w) for w, g in zip(p.terms, p.places, strict=True)]))
-    return F.transform(whole, lambda t: F.struct(t["start"].alias("start"), F.get(at(t, p.places[-1]), 0)["end"].alias("end")))
+    def has(ts: Column, i: Column, gap: int, term: str) -> Column:
+        return F.exists(at(ts, i, gap), lambda u: u["term"] == term)
+
+    def found(ts: Column) -> Column:
+        span = lambda t, i: F.struct(t["start"].alias("start"), F.get(at(ts, i, p.places[-1]), 0)["end"].alias("end"))
+        whole = lambda t, i: reduce(lambda a, b: a & b, [has(ts, i, g, w) for w, g in zip(p.terms, p.places, strict=True)])
+        return F.filter(F.transform(ts, lambda t, i: F.when(whole(t, i), span(t, i))), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(tokens), found), 0)
 
 
 def spans(tokens: Column, query: Query, field: str) -> Column:

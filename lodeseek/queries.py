@@ -319,6 +319,16 @@ x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower
 SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
 
 
+def marked_pair_sql(first: str, second: str) -> str:
+    """As marked_sql, for two different words side by side."""
+    esc = lambda c: ESCAPED.replace("text", c)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(g))) AS i, w, g FROM w),
+x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower(w[i]) = '{first}' AND lower(w[i + 1]) = '{second}' THEN '<em>' || w[i] WHEN i > 1 AND lower(w[i - 1]) = '{first}' AND lower(w[i]) = '{second}' THEN w[i] || '</em>' ELSE w[i] END AS s FROM p)
+SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_standard": tokenize_standard,
     "tokenize_keyword": tokenize_keyword,
@@ -346,6 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collect_then_fetch": lambda s, d: _fetched(documents(s, d)),
     **{k: parsed(t) for k, (t, _) in PARSED.items()},
     "highlight_term": highlighted(BooleanQuery((should(term("that")), never(term("with"))))),
+    "highlight_phrase": highlighted(PHRASE),
     "highlight_none": highlighted(TermQuery("lang", "en")),
     "delete_live": delete_live,
     "live_stats": live_stats,
@@ -392,6 +403,7 @@ ORACLES: dict[str, str] = {
     "collect_then_fetch": f"SELECT t.doc_id, t.score, text, lang, source FROM ({top_sql(query_sql(SCORED_QUERIES['bool_should']), 10)}) t JOIN documents d USING (doc_id)",
     **{k: query_sql(q) for k, (_, q) in PARSED.items()},
     "highlight_term": marked_sql("that"),
+    "highlight_phrase": marked_pair_sql(*PHRASE.terms),
     "highlight_none": f"SELECT doc_id, sha256({ESCAPED}) AS html_sha256 FROM documents",
     "delete_live": "SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'fr'",
     "live_stats": query_sql(SCORED_QUERIES["bool_should"], live=FR_LIVE),

@@ -1,13 +1,21 @@
+import hashlib
+import html
 import random
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek import IndexSnapshot, KeywordField, MemoryIndex, Schema, StoredField, TextField
+from lodeseek import queries
 from lodeseek.errors import AlreadyClosedError, SchemaError, TooManyTermsError
 from lodeseek.functions.bm25 import BM25
+from lodeseek.functions.highlight import highlight
 from lodeseek.plans.query import BooleanClause, BooleanQuery, MatchAllQuery, Occur, PhraseQuery, PrefixQuery, TermQuery
 
+SF = "/root/testdata/sf0.001"
+
 F1 = Schema({"body": TextField(stored=True)})
 T = lambda t: TermQuery("body", t)
 
@@ -151,3 +159,28 @@ def test_odd_field_names(spark):
     s = Schema({"doc_id": KeywordField(stored=True), "score": TextField(stored=True), "term": TextField(stored=True), "a b": TextField(stored=True)})
     m = memory(spark, [{"doc_id": "7", "score": "one", "term": "two", "a b": "three"}], s)
     assert dict(m.search(B(("MUST", TermQuery("score", "one")), ("MUST", TermQuery("a b", "three")))).hits[0].stored_fields) == {"doc_id": "7", "score": "one", "term": "two", "a b": "three"}
+
+
+def plain_marks(text, terms):
+    """Words of the phrase side by side, by scanning the words."""
+    words, out, at = list(re.finditer(r"[^\W]+", text)), [], 0
+    for a, b in zip(words, words[1:], strict=False):
+        if (a[0].lower(), b[0].lower()) == terms:
+            out += [html.escape(text[at : a.start()]), "<em>", html.escape(text[a.start() : b.end()]), "</em>"]
+            at = b.end()
+    return "".join(out) + html.escape(text[at:])
+
+
+def test_phrases_are_marked_in_all_documents(spark):
+    """By the registered query, by its SQL, and by brute force; and a phrase in a text of 20,000 words."""
+    got = {r.doc_id: r.html_sha256 for r in queries.QUERIES["highlight_phrase"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {i: plain_marks(t, queries.PHRASE.terms) for i, t in texts.items()}
+    assert sum("<em>" in x for x in want.values()) > 5
+    assert got == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        assert dict(db.execute(queries.ORACLES["highlight_phrase"]).fetchall()) == got
+    long = "so & of that " * 5000
+    (row,) = spark.createDataFrame([(long,)], "t string").select(highlight(F.col("t"), queries.PHRASE, "text").alias("x")).collect()
+    assert row.x == plain_marks(long, queries.PHRASE.terms)
