@@ -1,4 +1,4 @@
-"""Exact substring deduplication by prefix-free parsing.
+"""Exact substring deduplication by trigger phrases and fingerprints, in place of suffix arrays.
 
 Every byte is removed that is covered by a string of ``LENGTH`` bytes which also
 starts earlier: in a document with a smaller id, or earlier in the same one.
@@ -16,10 +16,10 @@ fingerprint. The parse, one row per phrase occurrence, is sorted by trigger,
 phrase and place. Of each phrase the first occurrence stays and all later ones are
 removed, whole windows at a time, without looking inside: that is what makes highly
 repetitive text cheap. Only phrases that share a trigger with a different phrase
-can share some window with it; they alone are looked into. Their suffixes of LENGTH
-bytes are sorted, which is the suffix array of that part of the dictionary, and
-ties are put in corpus order by the parse's places. In each run of equal suffixes
-the first stays.
+can share some window with it; they alone are looked into. Their windows of
+LENGTH bytes are grouped by fingerprint and trigger's hash, 64 bits each, and put in
+corpus order by place. In each group the first stays. No suffix array is built, and
+nothing is sorted by letter; phrases overlap, so they are no prefix-free parse.
 
 Skew. Occurrences of a phrase that a task sees again are passed on as removed
 without joining their group; a trigger with many phrases in one task is split by
