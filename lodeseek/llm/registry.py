@@ -20,5 +20,6 @@ ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": minhash.ORACLE,
     "op3_exact_top_k": topk.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
 }

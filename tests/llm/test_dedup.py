@@ -100,7 +100,7 @@ def test_components_of_paths_and_stars(spark):
 
 
 def plain_cut(rows):
-    """By a set of all windows seen so far, in order of (doc_id, start); rows of one id see each other's earlier starts only."""
+    """By a set of all windows seen so far, in order of (doc_id, start); each id has one text."""
     out, seen = {}, set()
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         data = (text or "").encode()
@@ -131,17 +131,78 @@ def repetitive(seed):
     return rows
 
 
-@pytest.mark.parametrize("many", [substrings.MANY, 2])
-def test_cuts_are_those_of_brute_force(spark, monkeypatch, many):
+def lines(seed):
+    """Lines that many texts share with other surroundings, shorter and longer than a window; an all but equal pair."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = [text(n) for n in (45, 62, 70, 84, 91, 150)]
+    rows = [(300 + i, text(rng.randint(0, 90)) + shared[i % 6] + text(rng.randint(0, 90))) for i in range(120)]
+    return rows + [(500, rows[5][1][:130] + "#" + rows[5][1][130:]), (501, rows[5][1][:99] + "\x00\x00" + rows[5][1][99:]), (502, "\x00" * 250), (503, "x" + "\x00" * 240)]
+
+
+@pytest.mark.parametrize("many, hot, chunk", [(substrings.MANY, substrings.HOT, substrings.CHUNK), (2, 3, 150), (3, 1, 1 << 20)])
+def test_cuts_are_those_of_brute_force(spark, monkeypatch, many, hot, chunk):
     import lodeseek.llm.substrings as module
 
-    monkeypatch.setattr(module, "MANY", many)
-    rows = repetitive(many)
-    df = spark.createDataFrame([(i, t, "clash", 2) for i, t in rows], "doc_id long, text string, doc string, spans int").repartition(4)
-    got = substrings.deduplicate(df, Scratch(spark, "t")).collect()
+    rows = repetitive(many) + lines(hot)
+    df = spark.createDataFrame([(i, t, "clash", 2, f"{i}k") for i, t in rows], "doc_id long, text string, doc string, spans int, n_bytes string").repartition(4)
+    fork_set(monkeypatch, module, MANY=many, HOT=hot, CHUNK=chunk)
+    got = substrings.deduplicate(df, Scratch(spark, "t"), keep=("doc", "spans", "n_bytes")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == plain_cut(rows)
     for r in got:
-        assert r.kept_text.encode() == bytes(r.kept) or "�" not in r.kept_text
+        assert (r.kept_text.encode() == bytes(r.kept) or "�" not in r.kept_text) and r.doc == "clash" and r.spans == 2
+
+
+def fork_set(monkeypatch, module, **values):
+    """Here; the functions that go to workers are pickled by name, so tests of the streams below run them here too."""
+    for k, v in values.items():
+        monkeypatch.setattr(module, k, v)
+
+
+def cut_here(rows, parts=3):
+    """The operator's streams without Spark: parse, settle, contexts, compare."""
+    import pyarrow as pa
+
+    by_id = {(-(2**63) if i is None else i): (t or "").encode() for i, t in rows}
+    lots = [sorted(by_id.items())[k::parts] for k in range(parts)]
+    table = lambda batches: pa.Table.from_batches(batches)
+    parsed = table([x for lot in lots for x in substrings.parse(iter([pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in lot], pa.int64()), "base": pa.array([0] * len(lot), pa.int64()), "text": [t for _, t in lot]})]))]).to_pandas()
+    parsed["split"] = (parsed["shape"] & 255) == substrings.SPLIT
+    parsed = parsed.sort_values(["split", "key", "phrase", "doc", "place"]).drop(columns="split")
+    batches = [pa.RecordBatch.from_pandas(parsed[k : k + 37], preserve_index=False) for k in range(0, len(parsed), 37)]
+    first = table(list(substrings.settle(iter(batches)))).to_pandas()
+    gone = [(d, a, e) for d, a, e in first[(first["shape"] & 255) == substrings.REMOVED][["doc", "place", "ends"]].itertuples(index=False)]
+    near = first[(first["shape"] & 255) == substrings.PLAIN].copy()
+    sides = {1: near["ends"].to_numpy().view(np.uint64) >> np.uint64(32), 4: near["ends"].to_numpy() & 0xFFFFFFFF}
+    for bit, part in sides.items():
+        n = near.assign(part=part).groupby(["key", "part"])["doc"].transform("size").to_numpy()
+        near["shape"] |= np.where((part != 0) & (n > 1), np.where(n > substrings.HOT, 2, 1), 0) * bit
+    near = near[(near["shape"] & 255) > 0]
+    bodies = []
+    for doc, found in near.groupby("doc"):
+        rows_ = [tuple(x) for x in found[["key", "place", "shape", "ends"]].itertuples(index=False)]
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("shape", pa.int32()), ("ends", pa.int64())]))
+        bodies.append(pa.RecordBatch.from_arrays([pa.array([doc]), pa.array([0]), pa.array([by_id[doc]]), pa.array([[dict(zip(("key", "place", "shape", "ends"), x, strict=True)) for x in rows_]], kind)], names=["doc", "base", "text", "found"]))
+    made = table(list(substrings.contexts(iter(bodies)))).sort_by([("route", "ascending"), ("doc", "ascending"), ("place", "ascending")]) if bodies else None
+    if made is not None:
+        gone += [x for b in substrings.compare(iter(made.to_batches(max_chunksize=11))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    out = {}
+    for i, t in rows:
+        own, data = -(2**63) if i is None else i, (t or "").encode()
+        mask = bytearray(len(data))
+        for d, a, e in gone:
+            if d == own:
+                mask[a:e] = b"\x01" * (e - a)
+        spans = sum(g and not (k and mask[k - 1]) for k, g in enumerate(mask))
+        out[i] = (len(data), sum(mask), spans, bytes(b for b, g in zip(data, mask, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_streams_are_brute_force_however_they_split(monkeypatch, seed):
+    rows = repetitive(seed) + lines(seed)
+    fork_set(monkeypatch, substrings, MANY=(2, 3, 32)[seed % 3], HOT=(1, 4, 512)[seed // 2], GROUP_ROWS=(7, 500)[seed % 2], CHUNK=(128, 1 << 20)[seed % 2])
+    assert cut_here(rows, 1 + seed % 4) == plain_cut(rows)
 
 
 def test_cut_of_nothing_and_repeated_rows(spark):
@@ -153,6 +214,19 @@ def test_cut_of_nothing_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, n) for i, n in [(1, plain_cut([(1, text[:150])])[1][1])] * 2 + [(2, 130)] * 2)
 
 
+def test_rows_without_an_id_of_their_own_are_documents_of_their_own(spark):
+    """Nothing is cut from a row because of another's spans; what two such rows share stays in exactly one of them."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    alone, shared, twice = text(600), text(200), text(150)
+    rows = [(None, alone), (None, twice + text(50) + twice), (None, shared + "1"), (None, "2" + shared), (7, text(300)), (7, shared + text(10)), (7, text(40) + twice), (8, shared), (8, shared)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Scratch(spark, "t"), keep=("text",)).collect()
+    by = {(r.doc_id, r.text): r for r in got}
+    assert len(got) == 9 and by[None, alone].n_removed == 0 and by[rows[4]].n_removed == 0
+    assert by[rows[1]].n_removed == 150 and sorted((by[rows[2]].n_removed, by[rows[3]].n_removed)) == [0, 200]
+    assert (by[rows[5]].n_removed, by[rows[6]].n_removed, by[rows[7]].n_removed) == (200, 150, 200)
+
+
 def test_phrases_cover_each_window_once_and_by_content():
     rng = random.Random(7)
     for data in (bytes(rng.choices(b"ab", k=700)), bytes(rng.choices(range(256), k=2000)), b"z" * 400):
@@ -171,10 +245,6 @@ def test_long_documents_are_parsed_in_chunks(monkeypatch):
     cut = substrings.phrases(data)
     windows = lambda x: sorted(s for p, y in zip(x[2], x[3], strict=True) for s in range(p - (y >> 16), p - (y >> 8 & 255) + 1))
     assert windows(whole) == windows(cut) and set(whole[2].tolist()) == set(cut[2].tolist())
-    at = np.arange(0, 8900, 7)
-    a = substrings.window_prints(data, at)
-    monkeypatch.setattr(substrings, "CHUNK", 1 << 20)
-    assert np.array_equal(a, substrings.window_prints(data, at))
 
 
 def edge_document(n=3000):
