@@ -152,7 +152,7 @@ def test_repeated_ids_count_once_wherever_blocks_end(spark, monkeypatch):
     got = found(topk.top_k(table(spark, rows), F.expr(QUERY), shard_rows=100))
     least = {}
     for i, v in rows:
-        least[i] = min(least.get(i, v), v, key=lambda x: np.array(x, np.float32).tolist())
+        whole = np.floor(256 * np.array(v, np.float32).astype(float)).tolist()
+        least[i] = min(least.get(i, whole), whole)
     ids = np.array(sorted(least))
-    whole = np.floor(256 * np.array([least[i] for i in ids]).astype(np.float32).astype(float))
-    assert got == {q: [(r, v, int(s)) for r, v, s in x] for q, x in exact(ids, whole, 5, lambda a, q: a @ q).items()}
+    assert got == {q: [(r, v, int(s)) for r, v, s in x] for q, x in exact(ids, np.array([least[i] for i in ids]), 5, lambda a, q: a @ q).items()}
