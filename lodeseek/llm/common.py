@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,31 +22,59 @@ BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_shipped: set[str] = set()
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package also where it isn't installed on them, and keep the session's Arrow batches short."""
+    """Let Python workers import this package also where it isn't installed on them, and keep the session's Arrow batches short.
+
+    On a cluster the package travels to the executors as a zip archive, by Spark's own
+    file server, once a context; on one machine its folder is put on the workers' path.
+    """
     if not 0 < int(spark.conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    sc = spark.sparkContext
+    if one_machine(spark):
+        have = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in have:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    elif sc.applicationId not in _shipped:
+        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        with tempfile.TemporaryDirectory() as made:  # addPyFile keeps a copy of its own
+            with zipfile.ZipFile(f"{made}/{package}.zip", "w") as z:
+                for folder, _, names in os.walk(os.path.join(ROOT, package)):
+                    for n in sorted(n for n in names if n.endswith(".py")):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), ROOT))
+            sc.addPyFile(f"{made}/{package}.zip")
+        _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset and there is but one machine (tests), one of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodeseek-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() deletes those that nothing reads any more."""
+    """Tables written to the shared folder to cut lineage; drop() deletes those that nothing reads any more, the driver's end the rest."""
 
     def __init__(self, spark: SparkSession, name: str):
         ready(spark)
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

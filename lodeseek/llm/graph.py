@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MAX_ROUNDS = 60
-
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")).withColumnRenamed("u", "_u")
@@ -35,16 +33,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     clean = lambda e: e.where("u <> v").distinct()
     now = scratch.save(clean(edges.select("u", "v")), f"{name}0")
     told = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    mark, done = told(now), False
-    for i in range(1, MAX_ROUNDS + 1):
-        after = scratch.save(clean(_small_star(clean(_large_star(now)))), f"{name}{i}")
-        new = told(after)
-        done = new == mark
+    mark, last, i = told(now), None, 0
+    while mark != last:  # a round that changes nothing ends it; on n nodes it takes at most some log(n) ** 2 rounds
+        i, last = i + 1, mark
+        now = scratch.save(clean(_small_star(clean(_large_star(now)))), f"{name}{i}")
+        mark = told(now)
         scratch.drop(f"{name}{i - 1}")
-        now, mark = after, new
-        if done:
-            break
-    if not done:
-        raise RuntimeError("components did not settle")
     # every edge now leads from a node to its component's smallest
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -9,15 +9,17 @@ alone decides (posterior of ``VOTE_AT`` or more) votes once, a row's own vote is
 taken out of its host's count, and counts are integers, so results don't depend
 on the order of rows.
 
-The trigram models are fitted on a bounded sample: the ``sample_per_lang`` rows
-of each labelled language whose ids have the smallest hashes. Every labelled
+The trigram models are fitted on a bounded sample: the ``sample_per_lang`` ids
+of each labelled language with the smallest hashes, one text (the least) of each. Every labelled
 language has a model. From ``CELLS`` / ``BUCKETS`` languages on all models get fewer
 buckets, so that together they stay within ``CELLS`` numbers.
 
 Nulls: null or empty text has no likelihood and takes its host's prior; without
 a letter it is ``und``. A null host, declaration or suffix is no evidence and
-adds nothing. Repeated rows each count. An empty table gives no rows; without
-training rows every row is ``und``.
+adds nothing. Repeated rows each count, but a repeated id only once in the sample. Of
+languages of equal posterior the first by name wins, ``und`` last. A very long text is counted whole, in
+stretches of ``CHUNK`` characters. Further columns are ignored, whatever their names. An
+empty table gives no rows; without training rows every row is ``und``.
 """
 
 from __future__ import annotations
@@ -48,9 +50,20 @@ def buckets_for(langs: int) -> int:
     return min(BUCKETS, 1 << max(CELLS // max(langs, 1), 2).bit_length() - 1)
 
 
+def trigrams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """trigram_buckets in stretches of CHUNK."""
+    low = f" {text} ".lower()
+    for at in range(0, max(len(low) - 2, 1), CHUNK):
+        yield _buckets(low[at : at + CHUNK + 2], buckets)
+
+
 def trigram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """The bucket of each three characters of the text in lower case, with a space before and after; none with a digit, for numbers and keys have no language."""
-    c = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.concatenate(list(trigrams(text, buckets)))
+
+
+def _buckets(low: str, buckets: int) -> np.ndarray:
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
     digit = c - np.uint32(48) < 10
@@ -65,7 +78,8 @@ def counting(langs: list[str], buckets: int):
         counts = np.zeros((len(langs), buckets), dtype=np.int64)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[number[lang]] += np.bincount(trigram_buckets(text or "", buckets), minlength=buckets)
+                for grams in trigrams(text or "", buckets):
+                    counts[number[lang]] += np.bincount(grams, minlength=buckets)
         lang, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[lang, at], pa.int64())], names=["lang", "bucket", "n"])
 
@@ -76,15 +90,17 @@ def fit(docs: DataFrame, sample_per_lang: int = 1500, id_col: str = "doc_id", te
     """(languages, log-probabilities by bucket and language); the last column is und's: all trigrams alike."""
     ready(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where(F.col("_l").isNotNull() & F.col("_i").isNotNull())
-    sizes = {r[0]: r[1] for r in known.where(F.col("_l") != UND).groupBy("_l").count().collect()}
+    # ids and not rows, so that one repeated id doesn't narrow the range below
+    sizes = {r[0]: max(r[1], 1) for r in known.where(F.col("_l") != UND).groupBy("_l").agg(F.approx_count_distinct("_i", 0.02)).collect()}
     langs, buckets = sorted(sizes), buckets_for(len(sizes))
     # about one and a half times as many of each language as are wanted, by the range of their hash; only those are ranked
     h = F.pmod(F.xxhash64("_i"), F.lit(1 << 30))
     ahead = reduce(lambda c, x: c.when(F.col("_l") == x, h <= F.lit(min(1 << 30, (3 * sample_per_lang << 29) // sizes[x]))), langs, F.when(F.lit(False), False))
-    ranked = known.where(ahead).select("_i", F.row_number().over(W.partitionBy("_l").orderBy(h, "_i")).alias("_r")).where(F.col("_r") <= sample_per_lang)
-    ids = ranked.select("_i")
+    some = known.where(ahead).select("_l", "_i").distinct()
+    ranked = some.select("_l", "_i", F.row_number().over(W.partitionBy("_l").orderBy(h, "_i")).alias("_r")).where(F.col("_r") <= sample_per_lang)
+    ids = ranked.select(F.col("_l").alias("_sl"), F.col("_i").alias("_si"))
     small = sum(min(n, sample_per_lang) for n in sizes.values()) <= BROADCAST_IDS
-    sample = known.join(F.broadcast(ids) if small else ids, "_i", "left_semi").where(F.col("_l").isin(langs))
+    sample = known.join(F.broadcast(ids) if small else ids, (F.col("_i") == F.col("_si")) & (F.col("_l") == F.col("_sl")), "left_semi").groupBy("_l", "_i").agg(F.min("_t").alias("_t"))
     got = sample.select("_t", "_l").mapInArrow(counting(langs, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(langs), buckets))
     counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -101,8 +117,7 @@ def likelihoods(model: np.ndarray):
             out = np.zeros((b.num_rows, model.shape[1]))
             for i, text in enumerate(b.column(0).to_pylist()):
                 if text:
-                    for at in range(0, len(text), CHUNK):
-                        grams = trigram_buckets(text[max(at - 1, 0) : at + CHUNK + 1], len(model))
+                    for grams in trigrams(text, len(model)):  # the two ways differ in the order of addition only
                         out[i] += model[grams].sum(0) if len(grams) < 2000 else np.bincount(grams, minlength=len(model)) @ model
             out = TEMPER * (out - out.max(1, keepdims=True, initial=-np.inf)) if len(out) else out
             ends = pa.array(np.arange(b.num_rows + 1) * model.shape[1], pa.int32())
@@ -186,7 +201,8 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """Pages: visible text; html lang; the host, its registered domain, and its last label."""
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,10};", " ")
+    # what is left open runs to the end, and a tag holds no <: so no place is searched twice
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>|&[a-z0-9#]{1,10};", " ")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     given = lambda c: F.when(c != "", c)

@@ -20,7 +20,9 @@ it they share, allow 0.75, and then compared on their full sets as well.
 Nulls and ties: a null or wordless text has an empty set, and is linked with
 nothing. A null doc_id is linked with nothing and gets a null component and kept.
 Repeated rows are copies; rows of one doc_id that differ in text are one document
-with several texts. An empty table gives no rows.
+with several texts. Ties between heads go to the smaller id. A very long text is signed
+whole; a task holds the shingles of ``DOCS_AT_ONCE`` texts, 8 bytes each. Further columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if n < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=n)] if n else [], dtype=np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)] if n else [], dtype=np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
     s = h[: n - WORDS + 1] * POSITION[0]
     for k in range(1, WORDS):

@@ -10,8 +10,9 @@ open window with the least capacity that still suffices; a segment tree indexed
 by remaining capacity finds it. Memory holds at most one bin and one document.
 
 Nulls: a null text counts as empty; its document is the end id alone. A null
-document id is carried through. Extra columns are ignored. Repeated rows are
-packed as often as they occur. An empty table gives no rows.
+document id is carried through. Extra columns are ignored, whatever their names. Repeated
+rows are packed as often as they occur. Pieces of equal length are placed by document id,
+then start. A very long text is tokenized whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

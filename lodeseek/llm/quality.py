@@ -13,8 +13,10 @@ the smallest hashes), on the driver; scoring runs over every document.
 Nulls: rated rows with a null id or grade are not used, nor are grades outside
 0..top. A null or empty text, or one without words, has no evidence of quality: its
 expected grade is 0, its tails are 0 and it is rejected. Repeated rows are each
-scored. Without any usable ratings the model abstains: it keeps everything that
-has words, at the top grade.
+scored. Of a rated id's grades the least counts. Without any usable ratings the model
+abstains: it keeps everything that has words, at the top grade. Very long texts are scored
+whole. Further columns pass through, but for those named as the result's own. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def word_features(word: str) -> tuple[int, ...]:
     """A word's buckets: first that of its case and the signs around it; then its core in lower case and how that begins."""
     core = EDGE.sub("", word)
     case = "n" if not core or not core[0].isalpha() else "u" if len(core) > 1 and core.isupper() else "t" if core[0].isupper() else "l"
-    signs = "".join(sorted({c for c in word if not c.isalnum() and c not in ",."}))[:4]
+    signs = "".join(sorted({c for c in word if not c.isalnum() and c not in ",."}))
     shape = bucket(f"\x01{case}{signs}")
     low = core.lower()
     return (shape, *(bucket(f"\x04{low[:k]}") for k in PREFIXES if len(low) > k), bucket(low)) if core else (shape,)

@@ -17,7 +17,10 @@ back the text exactly: a space is the piece mark, and a mark in the text itself
 is written as bytes.
 
 Nulls: a null text counts as empty, and gives no pieces. A null document id is a
-key as any other. Repeated rows get the same pieces. Extra columns are dropped.
+key as any other. Repeated rows get the same pieces. Extra columns are dropped. An empty
+table gives no rows. Of a text longer than ``STRETCH`` characters a stretch at a time is
+worked on, which ends between two units; so memory beyond the text and its ids is bounded by
+the stretch, or the longest unit.
 """
 
 from __future__ import annotations
@@ -134,6 +137,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
 def document_key(seed: int, doc: object) -> int:
     return xxhash.xxh3_64_intdigest(repr(doc).encode(), seed=seed)
 
@@ -160,15 +167,33 @@ class Encoder:
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        lens = np.array([len(t) + 1 if t else 0 for t in texts])
-        code = np.frombuffer("".join(f" {t}" for t in texts if t).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self._encode(codes("".join(f" {t}" for t in texts if t)), np.array([len(t) + 1 if t else 0 for t in texts]), keys, 0)
+
+    def encode_long(self, text: str, key: int, stretch: int = STRETCH) -> np.ndarray:
+        """As encode, for one text, in stretches."""
+        at, parts, size = 0, [np.zeros(0, dtype="<u4")], stretch
+        while at <= len(text) > 0:
+            code = codes(text[at - 1 : at - 1 + size] if at else f" {text[: size - 1]}")
+            if at + len(code) <= len(text):
+                sym = self.v.char_id[code]
+                borders = np.flatnonzero(self.v.joins.get(sym[:-1], sym[1:]) < 0)
+                if not len(borders):
+                    size *= 2
+                    continue
+                code = code[: borders[-1] + 1]
+            parts += self._encode(code, np.array([len(code)]), [key], at)
+            at, size = at + len(code), stretch
+        return np.concatenate(parts)
+
+    def _encode(self, code: np.ndarray, lens: np.ndarray, keys: list[int], offset: int) -> list[np.ndarray]:
+        """code: of texts side by side; offset: where they begin in their documents."""
         if not len(code):
-            return [np.zeros(0, dtype="<u4") for _ in texts]
+            return [np.zeros(0, dtype="<u4") for _ in lens]
         ends = np.cumsum(lens)
         first = ends[lens > 0] - lens[lens > 0]
         sym = self.v.char_id[code]
         n = len(sym)
-        where = np.arange(n) - np.repeat(ends - lens, lens)
+        where = np.arange(n) - np.repeat(ends - lens, lens) + offset
         key = np.repeat(np.array(keys, dtype=np.uint64), lens)
         cut = np.ones(n, dtype=bool)  # where a unit begins
         cut[1:] = self.v.joins.get(sym[:-1], sym[1:]) < 0
@@ -276,7 +301,8 @@ def encoding(path: str, dropout: float, seed: int):
                 while e < len(docs) and held + len(texts[e]) <= STRETCH:
                     held += len(texts[e])
                     e += 1
-                ids = encoder.encode(texts[a:e], [document_key(seed, d) for d in docs[a:e]])
+                keys = [document_key(seed, d) for d in docs[a:e]]
+                ids = [encoder.encode_long(texts[a], keys[0])] if held > STRETCH else encoder.encode(texts[a:e], keys)
                 rest = [c.slice(a, e - a) for c in b.columns[2:]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array([x.tobytes() for x in ids], pa.binary()), *rest], names=["doc_id", "ids", *b.schema.names[2:]])
                 a = e

@@ -25,13 +25,40 @@ def test_thresholds_are_ordered_and_tails_fall():
     assert m.tails(good)[0] > m.tails(good)[1] > 0.5
 
 
-def test_gradient_is_that_of_the_likelihood():
-    """fit's step must lower the loss wherever it starts: compared with a plain count of right grades."""
-    rows = [quality.vector(t) for t in ("a b", "a b", "c d", "c d", "e f", "e f")] * 20
-    grades = np.array([0, 0, 1, 1, 2, 2] * 20)
-    m = quality.fit(rows, grades)
-    got = [sum(t > 0.5 for t in m.tails(sum(float(m.weights[i]) * v for i, v in zip(*r, strict=True)))) for r in rows[:6]]
-    assert got == [0, 0, 1, 1, 2, 2]
+def plain_loss(rows, grades, weights, thresholds, l2):
+    """Mean negative log-likelihood of the cumulative-link model, and the penalty, by the formula."""
+    total = 0.0
+    for (ids, vals), g in zip(rows, grades, strict=True):
+        s = sum(weights.get(int(i), 0.0) * v for i, v in zip(ids, vals, strict=True))
+        at_least = [1.0, *(1 / (1 + np.exp(t - s)) for t in thresholds), 0.0]
+        total -= np.log(at_least[g] - at_least[g + 1])
+    return total / len(rows) + l2 / 2 * sum(w * w for w in weights.values())
+
+
+def test_fit_is_the_maximum_of_the_likelihood():
+    """An independent check: at the fitted point all numeric derivatives of the plain formula vanish, and no step away is better."""
+    rng = np.random.default_rng(6)
+    rows, grades = [], []
+    for _ in range(240):
+        ids = np.flatnonzero(rng.random(6) < 0.5).astype(np.int32)
+        rows.append((ids, rng.uniform(0.5, 1.5, len(ids))))
+        score = sum((i - 2.5) * 0.8 * v for i, v in zip(*rows[-1], strict=True)) + rng.logistic()
+        grades.append(int(score > -1) + int(score > 1.5))
+    grades, l2 = np.array(grades), 1e-2
+    m = quality.fit(rows, grades, l2=l2, rounds=6000, rate=0.02, least_chi2=0)
+    w, t = dict(m.weights), np.array(m.thresholds)
+    best = plain_loss(rows, grades, w, t, l2)
+    assert len(w) == 6 and t[0] < t[1]
+    for k in [*w, "t0", "t1"]:
+        moved = []
+        for d in (1e-4, -1e-4):
+            w2, t2 = dict(w), t.copy()
+            if k in w2:
+                w2[k] += d
+            else:
+                t2[int(k[1])] += d
+            moved.append(plain_loss(rows, grades, w2, t2, l2))
+        assert abs(moved[0] - moved[1]) / 2e-4 < 2e-4 and min(moved) > best - 1e-9
 
 
 def test_quality_on_held_out_rows(spark):
@@ -113,10 +140,34 @@ def test_trigrams_of_long_texts_are_cut_without_loss():
     b = pa.RecordBatch.from_arrays([pa.array([text, "", None]), pa.array([1, 2, 3])], names=["text", "id"])
     (out,) = langid.likelihoods(model)(iter([b]))
     whole = model[langid.trigram_buckets(text)].sum(0)
-    assert out["ll"].to_pylist()[0] == pytest.approx((langid.TEMPER * (whole - whole.max())).tolist(), rel=1e-3)
+    assert out["ll"].to_pylist()[0] == pytest.approx((langid.TEMPER * (whole - whole.max())).tolist(), rel=1e-9)
     assert out["ll"].to_pylist()[1:] == [[0.0, 0.0]] * 2
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab 1c", "Straße İi " * 50, "x" * 999])
+def test_stretches_of_trigrams_are_the_whole(monkeypatch, text):
+    low = f" {text} ".lower()
+    whole = langid.trigram_buckets(text)
+    for chunk in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.array_equal(langid.trigram_buckets(text), whole)
+    assert len(whole) == sum(not any("0" <= c <= "9" for c in low[i : i + 3]) for i in range(len(low) - 2))
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(1, "viele worte", "de")] * 500 + [(1, "alle worte", "de"), (2, "the words", "en"), (3, "more words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.fit(docs, sample_per_lang=10)
+    once = langid.fit(spark.createDataFrame([rows[500], *rows[501:]], docs.schema), sample_per_lang=10)
+    assert got[0] == once[0] == ["de", "en"] and np.array_equal(got[1], once[1])
+
+
+def test_open_tags_are_read_in_linear_time(spark):
+    pages = spark.createDataFrame([(1, "http://h.de/", "<p>Wort " + "<" * 200_000), (2, "http://h.de/", "Wort " + "<!-- " * 60_000), (3, "http://h.de/", "Wort " + "<script " * 40_000), (4, None, "a < b <b>und</b> c")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in langid.of_pages(pages).collect()}
+    assert got[1].split()[0] == got[2].split()[0] == got[3].split()[0] == "Wort" and got[2].split() == ["Wort"] and got[4].split() == ["a", "<", "b", "und", "c"]
+
+
 def test_language_id_finds_the_languages(spark):
     docs, pages = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
     langs, model = langid.fit(docs.where("doc_id % 4 > 0"))

@@ -9,7 +9,7 @@ from lodeseek.llm import minhash, substrings
 from lodeseek.llm.common import Scratch
 from lodeseek.llm.graph import components
 
-NULLS = [(900, None), (901, ""), (902, " \n\t"), (903, "Just four words here"), (904, "just FOUR words here"), (905, "just  four words here\x0b"), (906, "just four words"), (907, "É kept as it is"), (908, "é kept as it is")]
+NULLS = [(900, None), (901, ""), (902, " \n\t"), (903, "Just four words here"), (904, "just FOUR words here"), (905, "just  four words here\x0b"), (906, "just four words"), (909, "nul a\x00b c"), (910, "nul a b\x00c"), (911, "nul a b c"), (907, "É kept as it is"), (908, "é kept as it is")]
 
 
 def plain_shingles(text):
@@ -277,3 +277,15 @@ def test_repeats_across_the_edge_of_a_real_chunk_are_cut(spark):
     want = plain_cut(rows)
     assert want[2][2] == 9
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+
+
+def test_near_duplicates_of_long_texts_and_extra_columns(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    near = list(words)
+    for _ in range(2000):
+        near[rng.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[60_000:])), (4, "a\x00b c"), (5, "a b\x00c")]
+    df = spark.createDataFrame([(i, t, "clash", "clash", 1) for i, t in rows], "doc_id long, text string, set_key string, component_id string, rep int")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, Scratch(spark, "t")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5} and {i: c for i, (_, c) in plain_components(rows).items()} == got

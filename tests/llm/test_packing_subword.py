@@ -128,3 +128,21 @@ def test_encoding_and_decoding_frames(spark):
         assert same.setdefault(r.doc_id, r.ids) == r.ids
     assert subword.decode(subword.encode(d.limit(0))).count() == 0
     assert subword.encode(spark.createDataFrame([(None, "x")], "doc_id long, text string")).count() == 1
+
+
+def test_long_texts_are_encoded_in_stretches():
+    rng = random.Random(12)
+    text = "".join(rng.choice(["the ", "word", "é́", "你好", "\n\n", "q" * 70, " ", "😀", "abc"]) for _ in range(9000))
+    v = subword.vocabulary(subword.model_path(None))
+    for dropout in (0.0, 0.3):
+        e = subword.Encoder(v, dropout)
+        (whole,) = e.encode([text], [77])
+        for stretch in (50, 3000, 10**6):
+            assert np.array_equal(e.encode_long(text, 77, stretch), whole)
+        assert len(e.encode_long("", 77)) == 0 and v.decode(whole) == text.encode()
+
+
+def test_padding_is_little_at_the_real_window(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("s")).first()
+    assert got.n > 0.99 * 2048 * got.s
