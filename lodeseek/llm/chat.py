@@ -15,7 +15,9 @@ Nulls and ties: a null text or role counts as empty, and events with a null kind
 as deltas; null conversations form one of their own. Rows of equal position are
 ordered by sequence, role and text, so repeated rows are repeated turns. An
 unbounded number of rows of one conversation meets only as the final string that
-the contract asks for; offsets come from a window that can spill.
+the contract asks for; offsets come from a window that can spill. A conversation is as
+long as Spark's strings allow. Further columns are ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,12 +47,29 @@ def unescape(c: Column) -> Column:
 
 
 def log_of(rows: DataFrame) -> DataFrame:
-    """The event log of finished turns: each text streamed as deltas of DELTA_CHARS characters."""
+    """An event log whose fold is the given turns, with events of every kind.
+
+    By a hash of its place, a turn is streamed as deltas of DELTA_CHARS characters alone; or after a
+    start that a regeneration throws away; or after one that an edit replaces by the first
+    stretch of the text; or is followed by a message that is retracted.
+    """
     parts = F.expr(f"sequence(0, greatest(length(coalesce(text, '')) - 1, 0) div {DELTA_CHARS})")
     twins = W.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     numbered = rows.select("conv_id", "turn", "role", "text").withColumn("twin", F.row_number().over(twins))
-    each = numbered.select("conv_id", F.struct("turn", "twin").alias("message"), "role", F.coalesce("text", F.lit("")).alias("_t"), F.posexplode(parts).alias("_i", "_p"))
-    return each.select("conv_id", "message", "role", F.col("_i").cast("long").alias("seq"), F.lit("delta").alias("kind"), F.col("_t").substr(F.col("_p") * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text"))
+    t = numbered.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_how", F.pmod(F.xxhash64("conv_id", "turn", "twin"), F.lit(4)))
+    event = lambda ghost, seq, kind, text: F.struct(F.lit(ghost).alias("ghost"), seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    stretch = lambda i: F.col("_t").substr(i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))
+    at = lambda n: F.lit(n)
+    deltas = F.transform(parts, lambda i: event(0, i + 2, "delta", stretch(i)))
+    start = F.array(event(0, at(0), "delta", F.lit("a false start")))
+    events = (
+        F.when(F.col("_how") == 1, F.concat(start, F.array(event(0, at(1), "regenerate", F.lit(None).cast("string"))), deltas))
+        .when(F.col("_how") == 2, F.concat(start, F.array(event(0, at(2), "edit", stretch(F.lit(0)))), F.slice(deltas, 2, 1_000_000_000)))
+        .when(F.col("_how") == 3, F.concat(deltas, F.array(event(1, at(0), "delta", F.lit("never said")), event(1, at(1), "retract", F.lit(None).cast("string")))))
+        .otherwise(deltas)
+    )
+    e = t.select("conv_id", "turn", "twin", "role", F.explode(events).alias("e"))
+    return e.select("conv_id", F.struct("turn", "twin", F.col("e.ghost").alias("ghost")).alias("message"), "role", "e.seq", "e.kind", "e.text")
 
 
 def fold(log: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def test_events_fold_to_final_messages(spark):
     assert got == {(1, 0): "Hi!", (1, 1): "right", (1, 3): "back", (2, 0): ""}
 
 
+def test_the_log_has_events_of_all_kinds_and_folds_to_its_turns(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}.{t} " * (c * 20 + t)) for c in range(20) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate", "retract"}
+    shuffled = log.orderBy(F.xxhash64("seq", "text", "conv_id"))
+    got = sorted((r.conv_id, r.message.turn, r.role, r.text) for r in chat.fold(shuffled).collect())
+    assert got == sorted(rows)
+
+
 def test_chat_plan_is_native(spark):
     plan = chat.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -59,7 +69,7 @@ PAGES = "page_id long, url string, html string"
 
 def test_records_and_bundles():
     b = warc.Bundle(200, 3)
-    records = [(warc.record_id(i), warc.record(i, "http://x/a b", b"p" * (i * 37), hashlib.sha256(b"p" * (i * 37)).hexdigest(), None if i % 3 else 1)) for i in range(20)]
+    records = [(warc.record_id(i), warc.record(i, "http://x/a b", b"p" * (i * 37), i * 37, hashlib.sha256(b"p" * (i * 37)).hexdigest(), None if i % 3 else 1)) for i in range(20)]
     for urn, data in records:
         b.add(urn, data)
     whole = b.finish()
@@ -78,9 +88,9 @@ def test_records_and_bundles():
         warc.BundleReader(whole[:-1])
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [2_000_000, 0])
 def test_archives_read_back(spark, monkeypatch, limit):
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(warc, "BROADCAST_IDS", limit)
     long, odd = "é" * 80, "a\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(5, "u", long), (3, None, long), (9, "u", long), (1, "u\nv", "short"), (2, "u", "short"), (4, "u", None), (None, "u", long), (6, "u", odd), (7, "u", odd), (3, "other", long), (8, "u", "z" * 100), (10, "u", "z" * 99), (11, "u", "z" * 99)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES + ", refers_to string, digest string").repartition(3)
@@ -104,3 +114,30 @@ def test_archives_of_nothing(spark):
     scratch = Scratch(spark, "t")
     warc.write(spark.createDataFrame([], PAGES), scratch.path("b"), scratch)
     assert warc.read(spark, scratch.path("b")).count() == 0
+
+
+def test_one_record_takes_one_ranged_read(spark):
+    """Of folders of bundles of many frames, a lookup reads the frame of the record and nothing else; a reader of one bundle footer, table, map and frame."""
+    rng = random.Random(1)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh <>/") for _ in range(3000))) for i in range(300)] + [(300, "u", None), (301, "u", "x")]
+    rows.append((400, "again", rows[7][2]))
+    scratch = Scratch(spark, "t")
+    warc.write(spark.createDataFrame(rows, PAGES).repartition(3), scratch.path("b"), scratch, frame_bytes=20_000, bundle_bytes=100_000)
+    index = scratch.save(warc.locate(spark, scratch.path("b")), "index")
+    assert index.count() == len(rows) and index.select("path").distinct().count() >= 3
+    whole = sum(f.length for f in spark.read.format("binaryFile").load(scratch.path("b")).select("length").collect())
+    for page in (7, 222, 300, 301):
+        opened = {}
+        (got,) = warc.fetch(index, [page], opened)
+        html = (rows[page][2] or "").encode()
+        assert got == (page, len(html), hashlib.sha256(html).hexdigest(), "response", None, html)
+        (source,) = opened.values()
+        assert source.told == index.where(f"page_id = {page}").first().frame_bytes < whole / 20
+    (revisit,) = warc.fetch(index, [400])
+    assert revisit[3:5] == ("revisit", 7) and warc.fetch(index, [999]) == []
+    at = index.where("page_id = 222").first()
+    source = warc.Ranged(spark, at.path)
+    reader = warc.BundleReader(source)
+    head = source.told
+    (data,) = reader.find(warc.record_id(222))
+    assert warc.parse(data)[5] == rows[222][2].encode() and source.told - head == at.frame_bytes and source.told < source.size / 2
