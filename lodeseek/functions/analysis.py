@@ -22,7 +22,7 @@ WORD = r"[\p{L}\p{N}_]+"
 OTHER = r"[^\p{L}\p{N}_]+"
 #: The stop words of the standard analyzer.
 STOPWORDS = frozenset({"the"})
-BLOCK = 64
+BLOCK = 16
 TOKEN_TYPE = "array<struct<term:string,position:int,start:int,end:int>>"
 
 
@@ -58,25 +58,32 @@ def _token(term: Column, position: Column, start: Column, end: Column) -> Column
     return F.struct(term.alias("term"), position.cast("int").alias("position"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _block_starts(blocks: Column) -> Column:
-    size = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + F.length(x["w"])))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(size, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, n: a + n)
 
 
-def _placed(block: Column, at: Column) -> Column:
-    start = F.struct(at.alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out"))
+def _sums(values: Column, size: int) -> Column:
+    """Of each size values."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(size)), lambda at: _total(F.slice(values, at + 1, size)))
 
-    def step(a: Column, x: Column) -> Column:
-        begin, end = a["at"] + x["g"], a["at"] + x["g"] + F.length(x["w"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(x["w"].alias("word"), begin.alias("start"), end.alias("end"))).alias("out"))
 
-    return F.aggregate(block, start, step, lambda a: a["out"])
+def _before(values: Column) -> Column:
+    """Of each value the sum of those before it. Arrays are copied when they grow, so only one of a 4,096th of their number grows."""
+    def upto(sums: Column, i: Column, size: int) -> Column:
+        return _total(F.slice(sums, F.floor(i / size).cast("int") * size + 1, i % size))
+
+    def scan(a: Column, n: Column) -> Column:
+        return F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    far = lambda wide: F.aggregate(_sums(wide, 64), empty, scan, lambda a: a["out"])
+    each = lambda wide, far: F.transform(values, lambda _, i: F.get(far, F.floor(i / 4096).cast("int")) + upto(wide, F.floor(i / 64).cast("int"), 64) + upto(values, i, 64))
+    return bound(_sums(values, 64), lambda wide: bound(far(wide), lambda far: each(wide, far)))
 
 
 class StandardTokenizer:
@@ -91,12 +98,26 @@ class StandardTokenizer:
         return out
 
     def column(self, text: Column) -> Column:
-        """Offsets are running sums over gaps and words; in two levels, for arrays are copied when they grow."""
-        pairs = F.zip_with(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1), lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g")))
-        pairs = F.filter(pairs, lambda x: x["w"].isNotNull())  # after the last word there is a gap more
-        blocks = _bound(pairs, lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.size(z) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(z, at + 1, BLOCK)))
-        placed = _bound(blocks, lambda b: F.flatten(F.zip_with(b, _block_starts(b), _placed)))
-        return F.transform(placed, lambda x, i: _token(x["word"], i, x["start"], x["end"]))
+        """Offsets are running sums over gaps and words: within a block of BLOCK words, and over blocks."""
+        words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+
+        def placed(x: Column) -> Column:
+            words, lengths = x["w"], x["n"]
+
+            def tokens(starts: Column) -> Column:
+                def token(w: Column, i: Column) -> Column:
+                    block = F.floor(i / BLOCK).cast("int")
+                    end = F.get(starts, block) + _total(F.slice(lengths, block * BLOCK + 1, i % BLOCK + 1))
+                    return bound(end, lambda e: _token(w, i, e - F.length(w), e))
+
+                return F.transform(words, token)
+
+            return bound(bound(_sums(lengths, BLOCK), _before), tokens)
+
+        # after the last word there is a gap more
+        lengths = lambda w, g: F.zip_with(w, F.slice(g, 1, F.size(w)), lambda w, g: F.length(w) + F.length(g))
+        pair = bound(F.struct(words.alias("w"), gaps.alias("g")), lambda x: F.struct(x["w"].alias("w"), lengths(x["w"], x["g"]).alias("n")))
+        return F.when(text.isNotNull(), bound(pair, placed))
 
     def terms(self, text: Column) -> Column:
         """Words and positions only: what the index needs, in time proportional to the text."""

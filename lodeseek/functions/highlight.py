@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,11 +10,10 @@ from pyspark.sql import functions as F
 
 from ..plans.query import BooleanQuery, Occur, PhraseQuery, Query, TermQuery
 from ..schema import Schema
-from .analysis import StandardAnalyzer
+from .analysis import STOPWORDS, WORD, bound
 
 #: Characters and what stands for them in HTML, the ampersand first.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
-SPANS = "array<struct<start:int,end:int>>"
 
 
 def check_fields(schema: Schema, names: tuple[str, ...]) -> None:
@@ -45,42 +45,41 @@ def escaped(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPES, c)
 
 
-def _phrase_spans(tokens: Column, p: PhraseQuery) -> Column:
-    """From a match's first start to its last end, the text between included.
+def highlight(text: Column, query: Query, field: str) -> Column:
+    """query: rewritten. Null for null.
 
-    Tokens are in order, so the one that is gap places on is among the next gap. They
-    are bound to a variable: a lambda would make them anew for each of them.
+    Works on the text's words and the gaps between them, in one pass each; words have
+    no sign that HTML would read. A word's number is its position, so a phrase's terms are looked up at
+    their distances. Spans that share a word are one mark; others never touch, for a gap is between them.
     """
-    def at(ts: Column, i: Column, gap: int) -> Column:
-        return F.filter(F.slice(ts, i + 1, F.lit(gap + 1)), lambda u: u["position"] == F.get(ts, i)["position"] + gap)
+    terms, phrases = wanted(query, field)
+    phrases = [p for p in phrases if not STOPWORDS.intersection(p.terms)]  # a stop word isn't indexed
+    terms -= STOPWORDS
 
-    def has(ts: Column, i: Column, gap: int, term: str) -> Column:
-        return F.exists(at(ts, i, gap), lambda u: u["term"] == term)
+    def begins(low: Column, p: PhraseQuery) -> Callable[[Column, Column], Column]:
+        return lambda w, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(low, i + at) == term, F.lit(False)) for term, at in zip(p.terms, p.places, strict=True)])
 
-    def found(ts: Column) -> Column:
-        span = lambda t, i: F.struct(t["start"].alias("start"), F.get(at(ts, i, p.places[-1]), 0)["end"].alias("end"))
-        whole = lambda t, i: reduce(lambda a, b: a & b, [has(ts, i, g, w) for w, g in zip(p.terms, p.places, strict=True)])
-        return F.filter(F.transform(ts, lambda t, i: F.when(whole(t, i), span(t, i))), lambda x: x.isNotNull())
+    def marked(x: Column) -> Column:
+        words, low, gaps = x["words"], x["low"], x["gaps"]
+        found = [F.transform(low, begins(low, p)) for p in phrases]
+        starts = F.struct(*[f.alias(f"p{k}") for k, f in enumerate(found)]) if found else F.struct(F.lit(0).alias("none"))
 
-    return F.get(F.transform(F.array(tokens), found), 0)
+        def pieces(starts: Column) -> Column:
+            def any_start(i: Column, from_: int) -> Column:
+                """Whether a phrase that began up to the phrase's length less from_ words before covers word i, and from_ words after it."""
+                seen = [F.coalesce(F.get(starts[f"p{k}"], i - back), F.lit(False)) & (i >= back) for k, p in enumerate(phrases) for back in range(p.places[-1] + 1 - from_)]
+                return reduce(lambda a, b: a | b, seen, F.lit(False))
 
+            def piece(w: Column, i: Column) -> Column:
+                on = any_start(i, 0) | (F.get(low, i).isin(*sorted(terms)) if terms else F.lit(False))
+                opened, closed = on & ~any_start(F.greatest(i - 1, F.lit(0)), 1), on & ~any_start(i, 1)
+                opened = F.when(i == 0, on).otherwise(opened)
+                return F.concat(escaped(F.get(gaps, i)), F.when(opened, "<em>").otherwise(""), w, F.when(closed, "</em>").otherwise(""))
 
-def spans(tokens: Column, query: Query, field: str) -> Column:
-    """Sorted offsets to mark, overlapping and touching ones joined."""
-    terms, phrases = wanted(query, field)
-    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
-    found = [F.array().cast(SPANS)]
-    if terms:
-        found.append(F.transform(F.filter(tokens, lambda t: t["term"].isin(*sorted(terms))), lambda t: span(t["start"], t["end"])))
-    found += [_phrase_spans(tokens, p) for p in phrases]
-    every = F.array_sort(F.concat(*found))
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(span(F.try_element_at(acc, F.lit(-1))["start"], F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]))))).otherwise(F.array_append(acc, x))
-    return F.aggregate(every, F.array().cast(SPANS), join)
+            return F.concat(F.array_join(F.transform(words, piece), ""), escaped(F.get(gaps, F.size(words))))
 
+        return bound(starts, pieces)
 
-def highlight(text: Column, query: Query, field: str) -> Column:
-    """query: rewritten. Null for null."""
-    cut = lambda a, n: escaped(F.substr(text, a + 1, n))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], x["start"] - acc["at"]), F.lit("<em>"), cut(x["start"], x["end"] - x["start"]), F.lit("</em>")).alias("out"))
-    return F.aggregate(spans(StandardAnalyzer().column(text), query, field), start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(text))))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    parts = bound(F.struct(words.alias("words"), F.split(text, WORD, -1).alias("gaps")), lambda x: F.struct(x["words"].alias("words"), F.transform(x["words"], F.lower).alias("low"), x["gaps"].alias("gaps")))
+    return F.when(text.isNotNull(), bound(parts, marked))

@@ -1,7 +1,8 @@
 """Relevance metrics: of one ranking in Python, and of many as DataFrames.
 
 runs:  query_id, doc_id, rank (from 1).   qrels: query_id, doc_id, grade (0: not relevant).
-Every query of ``queries`` (query_id) is counted, also one that found nothing.
+Every query of ``queries`` (query_id) is counted, also one that found nothing. A run that
+names a document twice, or a grade that isn't finite or is below 0, fails the job.
 """
 
 from __future__ import annotations
@@ -62,8 +63,20 @@ def ndcg_at_k(ranked: Sequence[Hashable], grades: Mapping[Hashable, float], k: i
     return _gain([float(grades.get(d, 0)) for d in ranked[:k]]) / best if best else 0.0
 
 
+def _graded(qrels: DataFrame) -> DataFrame:
+    grade = F.col("grade").cast("double")
+    good = grade.isNull() | ((grade >= 0) & (grade < float("inf")))
+    return qrels.select("query_id", "doc_id", F.when(good, grade).otherwise(F.raise_error(F.lit("grades must be finite numbers of 0 or more")).cast("double")).alias("grade"))
+
+
+def _once(runs: DataFrame) -> DataFrame:
+    r = runs.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"), F.count("*").alias("_n"))
+    return r.select("query_id", "doc_id", F.when(F.col("_n") == 1, F.col("rank")).otherwise(F.raise_error(F.lit("a ranking names a document twice")).cast("int")).alias("rank"))
+
+
 def _judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:
-    q = qrels.select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d"), F.col("grade").cast("double").alias("grade"))
+    runs = _once(runs)
+    q = _graded(qrels).select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d"), "grade")
     return runs.join(q, (F.col("query_id") == F.col("_q")) & (F.col("doc_id") == F.col("_d")), "left").select("query_id", "rank", F.coalesce("grade", F.lit(0.0)).alias("grade"))
 
 
@@ -100,6 +113,6 @@ def ndcg(queries: DataFrame, runs: DataFrame, qrels: DataFrame, k: int) -> DataF
     discounts = F.array(*[F.lit(math.log2(i + 2)) for i in range(k)])
     gain = F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1.0) / F.get(discounts, F.col("rank").cast("int") - 1))
     got = _judged(runs, qrels).where(F.col("rank") <= k).groupBy("query_id").agg(gain.alias("got"))
-    ideal = qrels.select("query_id", F.col("grade").cast("double").alias("grade")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade")))).where(F.col("rank") <= k)
+    ideal = _graded(qrels).select("query_id", "grade").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade")))).where(F.col("rank") <= k)
     best = ideal.groupBy("query_id").agg(gain.alias("best")).where(F.col("best") > 0)
     return _per_query(queries, got.join(best, "query_id").select("query_id", (F.col("got") / F.col("best")).alias("ndcg")), "ndcg")

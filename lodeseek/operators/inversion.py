@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import analyzer_named
+from ..functions.analysis import analyzer_named, bound
 from ..schema import Schema
 
 KEYS = ("segment", "doc_id")
@@ -25,26 +25,40 @@ def field_terms(schema: Schema, name: str) -> Column:
     return F.coalesce(F.transform(made, lambda t: F.struct(t["term"].alias("term"), t["position"].cast("int").alias("position"))), empty)
 
 
-def tokens(docs: DataFrame, schema: Schema) -> DataFrame:
-    """segment, doc_id, field, dl, term, position: one row a token. Each text is analyzed once."""
-    per_field = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(schema[n].store_positions).alias("keep"), field_terms(schema, n).alias("tokens")) for n in schema.indexed])
-    f = docs.select(*KEYS, F.explode(per_field).alias("f")).select(*KEYS, "f.field", "f.keep", F.size("f.tokens").alias("dl"), F.explode("f.tokens").alias("t"))
-    return f.select(*KEYS, "field", "keep", "dl", "t.term", "t.position")
+def grouped(terms: Column, keep: bool) -> Column:
+    """Term, frequency and ascending positions, sorted by term, of an array of (term, position).
+
+    Inside a document's own row: sorted, and cut where the term changes. No exchange, and no
+    aggregation over all tokens.
+    """
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+
+        def runs(starts: Column) -> Column:
+            def run(at: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(starts, j + 1), F.size(s)) - at
+                places = F.transform(F.slice(s, at + 1, n), lambda x: x["position"]) if keep else F.array().cast("array<int>")
+                return F.struct(F.get(s, at)["term"].alias("term"), n.cast("int").alias("tf"), places.alias("positions"))
+
+            return F.transform(starts, run)
+
+        return bound(starts, runs)
+
+    return bound(F.sort_array(terms), cut)
 
 
 def postings(docs: DataFrame, schema: Schema) -> DataFrame:
-    """Frequency and ascending positions of each term in each document.
+    """Frequency and ascending positions of each term in each document: rows are made where the texts are."""
+    def inverted(n: str) -> Column:
+        return bound(field_terms(schema, n), lambda t: F.struct(F.lit(n).alias("field"), F.size(t).alias("dl"), grouped(t, schema[n].store_positions).alias("terms")))
 
-    Documents are dealt by their key while they are still texts, a tenth of their
-    tokens' size; the aggregation by document and term then needs no exchange.
-    """
-    t = tokens(docs.repartition("doc_id"), schema)  # segment may be a constant, which no partitioning has
-    kept = F.collect_list(F.when(F.col("keep"), F.col("position")))
-    made = t.groupBy(*KEYS, "field", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(kept).alias("positions"), F.first("dl").alias("dl"))
-    return made.select("segment", "field", "term", "doc_id", "tf", "positions", "dl")
+    f = docs.select(*KEYS, F.explode(F.array(*[inverted(n) for n in schema.indexed])).alias("f"))
+    t = f.select(*KEYS, "f.field", "f.dl", F.explode("f.terms").alias("t"))
+    return t.select("segment", "field", "t.term", "doc_id", "t.tf", "t.positions", "dl")
 
 
 def norms(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Analyzed lengths, 0 too; a pass of its own over the texts that groups nothing."""
     per_field = F.array(*[F.struct(F.lit(n).alias("field"), F.size(field_terms(schema, n)).alias("length")) for n in schema.indexed])
     return docs.select(*KEYS, F.explode(per_field).alias("f")).select("segment", "f.field", "doc_id", "f.length")
 

@@ -20,11 +20,13 @@ class FieldType:
     stored: bool
     store_positions: bool
     boost: float
-    analyzer_name: str
+    analyzer_name: str | None
 
     def __post_init__(self) -> None:
         if isinstance(self.boost, bool) or not isinstance(self.boost, (int, float)) or not math.isfinite(self.boost) or self.boost <= 0:
             raise SchemaError("a field's boost must be a finite number above 0")
+        if self.indexed and self.analyzer_name is None:
+            raise SchemaError("an indexed field needs an analyzer")
         if self.store_positions and not self.indexed:
             raise SchemaError("only an indexed field has positions")
         object.__setattr__(self, "boost", float(self.boost))
@@ -42,13 +44,14 @@ def KeywordField(*, stored: bool = False, boost: float = 1.0) -> FieldType:
 
 def StoredField() -> FieldType:
     """Kept with the document, not searched."""
-    return FieldType(False, False, True, False, 1.0, "keyword")
+    return FieldType(False, False, True, False, 1.0, None)
 
 
 class Schema(Mapping[str, FieldType]):
-    """At least one field, in the order of names; equal schemas have equal fingerprints."""
+    """At least one field, in the order of names; equal schemas have equal fingerprints. Fields by a mapping or by keyword."""
 
-    def __init__(self, given: Mapping[str, FieldType]):
+    def __init__(self, given: Mapping[str, FieldType] | None = None, /, **more: FieldType):
+        given = {**(given or {}), **more}
         if not given:
             raise SchemaError("a schema needs a field")
         for name, kind in given.items():
@@ -96,7 +99,7 @@ class Schema(Mapping[str, FieldType]):
                 raise SchemaError(f"field {name} must have exactly {sorted(names)}")
             for key, value in kind.items():
                 want = str if key == "analyzer_name" else (int, float) if key == "boost" else bool
-                if not isinstance(value, want):
+                if not isinstance(value, want) and not (key == "analyzer_name" and value is None):
                     raise SchemaError(f"{key} of field {name} has a wrong type")
         return cls({n: FieldType(**k) for n, k in given.items()})
 
