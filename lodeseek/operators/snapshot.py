@@ -76,6 +76,11 @@ class IndexSnapshot:
             t.cache()
         return self
 
+    def uncache(self) -> IndexSnapshot:
+        for t in self._tables.values():
+            t.unpersist()
+        return self
+
     # lifecycle
 
     def _open(self) -> None:

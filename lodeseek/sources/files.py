@@ -68,6 +68,14 @@ class Files:
         except Py4JJavaError as e:
             raise OSError(f"can't be read: {self.at(name)}") from e
 
+    def digest(self, name: str) -> str:
+        """SHA-256 of a file, read in blocks."""
+        stream = self.fs.open(self._path(self.at(name)))
+        try:
+            return self.spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def replace(self, name: str, text: str) -> None:
         """Written beside, then put in place in one step."""
         tmp = f"{name}.tmp"

@@ -4,9 +4,11 @@
     segments/seg_000001/{postings,norms,stored}/*.parquet, segment.json
     tombstones/gen_000001/*.parquet
 
-Postings are partitioned by field and sorted by term within files, so a term's
-scan skips what the statistics of row groups rule out. Nothing is ever changed in
-place; the manifest, put in place in one step, is the only root after a restart.
+Postings are dealt by ranges of field, term and document and sorted in this order, so a
+term lies in few files of a segment, a common one is split over several, and a scan skips
+what the statistics of files' row groups rule out. All segments are read in one scan; a
+row's segment comes from its file's path. Nothing is ever changed in place; the manifest,
+put in place in one step, is the only root after a restart.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from ..operators.snapshot import IndexSnapshot
 from ..schema import Schema
 from .files import Files
 
-FORMAT = 1
+FORMAT = 2
 SEGMENT = re.compile(r"seg_(\d{6,})")
 #: Segments up to this size have their files' digests checked when they are opened; larger ones their lengths, and the digests on demand.
 DIGEST_BYTES = 64 << 20
+#: Larger files are digested in blocks on the driver, others whole where they are read.
+WHOLE_BYTES = 256 << 20
+#: So files stay well below WHOLE_BYTES.
+FILE_ROWS = {"postings": 4_000_000, "norms": 10_000_000, "stored": 50_000}
 
 
 def segment_dir(generation: int) -> str:
@@ -62,6 +68,7 @@ class Manifest:
     segments: tuple[int, ...] = ()
     tombstones: int | None = None
     tombstone_files: Mapping[str, int] = field(default_factory=dict)
+    tombstone_digests: Mapping[str, str] = field(default_factory=dict)
     next_segment: int = 1
     batch: int = -1
     format_version: int = FORMAT
@@ -130,10 +137,16 @@ class Registry:
             return LifecycleDiagnostics(tuple(of("reader")), next(iter(of("writer")), None), {g: tuple(sorted(o for o, (_, gs) in self.owners.items() if g in gs)) for g in sorted(self.used())})
 
 
-def digests(spark: SparkSession, path: str) -> dict[str, str]:
-    """SHA-256 of the Parquet files below path, computed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return {r[0][r[0].index(path.rsplit("/", 1)[-1] + "/") + len(path.rsplit("/", 1)[-1]) + 1 :]: r[1] for r in files.select("path", F.sha2("content", 256)).collect()}
+def digests(files: Files, name: str) -> dict[str, str]:
+    """SHA-256 of the Parquet files below name, by path relative to it: of small ones where they are read, of large ones in blocks."""
+    sizes = {k: n for k, n in files.sizes(name).items() if k.endswith(".parquet")}
+    small = [k for k, n in sizes.items() if n <= WHOLE_BYTES]
+    out = {k: files.digest(f"{name}/{k}") for k in sizes.keys() - set(small)}
+    if small:
+        whole = files.spark.read.format("binaryFile").load([files.at(f"{name}/{k}") for k in small])
+        base = f"/{name}/"
+        out |= {r[0][r[0].index(base) + len(base) :]: r[1] for r in whole.select("path", F.sha2("content", 256)).collect()}
+    return out
 
 
 class Segments:
@@ -148,18 +161,19 @@ class Segments:
             generation += 1
         return generation
 
-    def publish(self, generation: int, tables: Mapping[str, DataFrame]) -> SegmentDescriptor:
-        """Writes beside, describes, renames; a failure leaves nothing under the segment's name."""
+    def publish(self, generation: int, tables: Mapping[str, DataFrame], small: bool = False) -> SegmentDescriptor:
+        """Writes beside, describes, renames; a failure leaves nothing under the segment's name. small: in one partition already, so nothing is to be dealt."""
         if self.files.exists(segment_dir(generation)):
             raise FileExistsError(segment_dir(generation))
         tmp = f"segments/.tmp-{uuid.uuid4().hex}"
         try:
             for name, df in tables.items():
                 w = df.drop("segment")
-                w = w.sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field") if name == "postings" else w.write
-                w.parquet(self.files.at(f"{tmp}/{name}"))
+                if name == "postings":
+                    w = (w if small else w.repartitionByRange("field", "term", "doc_id")).sortWithinPartitions("field", "term", "doc_id")
+                w.write.option("maxRecordsPerFile", FILE_ROWS[name]).parquet(self.files.at(f"{tmp}/{name}"))
             sizes = {k: v for k, v in self.files.sizes(tmp).items() if k.endswith(".parquet")}
-            about = {"format_version": FORMAT, "generation": generation, "schema_fingerprint": self.schema.fingerprint, "max_doc": self.spark.read.parquet(self.files.at(f"{tmp}/stored")).count(), "files": sizes, "digests": digests(self.spark, self.files.at(tmp))}
+            about = {"format_version": FORMAT, "generation": generation, "schema_fingerprint": self.schema.fingerprint, "max_doc": self.spark.read.parquet(self.files.at(f"{tmp}/stored")).count(), "files": sizes, "digests": digests(self.files, tmp)}
             self.files.create(f"{tmp}/segment.json", dumps(about))
             self.files.rename(tmp, segment_dir(generation))
         except BaseException:
@@ -180,30 +194,30 @@ class Segments:
         sizes = {k: v for k, v in self.files.sizes(where).items() if k.endswith(".parquet")}
         if sizes != about["files"]:
             raise CorruptIndexError(f"segment {generation} doesn't have its files")
-        if (sum(sizes.values()) <= DIGEST_BYTES if deep is None else deep) and digests(self.spark, self.files.at(where)) != about["digests"]:
+        if (sum(sizes.values()) <= DIGEST_BYTES if deep is None else deep) and digests(self.files, where) != about["digests"]:
             raise CorruptIndexError(f"a file of segment {generation} has been changed")
         return about
 
     def open(self, generation: int) -> dict[str, DataFrame]:
-        at = lambda name: self.files.at(f"{segment_dir(generation)}/{name}")
-        read = lambda name, schema: self.spark.read.schema(schema).parquet(at(name)).withColumn("segment", F.lit(generation))
-        stored = ", ".join(["doc_id long", *(f"`f_{n}` string" for n in self.schema.stored)])
-        return {
-            "postings": read("postings", "term string, doc_id long, tf int, positions array<int>, dl int, field string").select("segment", "field", "term", "doc_id", "tf", "positions", "dl"),
-            "norms": read("norms", "field string, doc_id long, length int").select("segment", "field", "doc_id", "length"),
-            "stored": read("stored", stored).select("segment", "doc_id", *[f"`f_{n}`" for n in self.schema.stored]),
-        }
+        return self.all([generation])
 
     def all(self, generations) -> dict[str, DataFrame]:
-        """Tables of several segments in one scan plan each."""
+        """Tables of several segments, each in one scan however many there are."""
         if not generations:
             empty = inversion.with_all_fields(self.spark.createDataFrame([], "segment int, doc_id long"), self.schema)
             return {"postings": inversion.postings(empty, self.schema), "norms": inversion.norms(empty, self.schema), "stored": inversion.stored(empty, self.schema)}
-        out: dict[str, DataFrame] = {}
-        for g in generations:
-            for name, df in self.open(g).items():
-                out[name] = out[name].unionByName(df) if name in out else df
-        return out
+
+        def read(name: str, schema: str, *columns: str) -> DataFrame:
+            df = self.spark.read.schema(schema).parquet(*[self.files.at(f"{segment_dir(g)}/{name}") for g in generations])
+            segment = F.lit(generations[0]) if len(generations) == 1 else F.regexp_extract("_metadata.file_path", r"/segments/seg_(\d+)/", 1).cast("int")
+            return df.select(segment.alias("segment"), *columns)
+
+        stored = ["doc_id", *(f"`f_{n}`" for n in self.schema.stored)]
+        return {
+            "postings": read("postings", "field string, term string, doc_id long, tf int, positions array<int>, dl int", "field", "term", "doc_id", "tf", "positions", "dl"),
+            "norms": read("norms", "field string, doc_id long, length int", "field", "doc_id", "length"),
+            "stored": read("stored", ", ".join([f"{c} {'long' if c == 'doc_id' else 'string'}" for c in stored]), *stored),
+        }
 
     def verify(self, generation: int) -> None:
         """All digests, and the tables' invariants by aggregates over them."""
@@ -212,12 +226,14 @@ class Segments:
         if wrong:
             raise CorruptIndexError(f"segment {generation} has {', '.join(wrong)}")
 
-    def tombstones(self, generation: int | None, sizes: Mapping[str, int] | None = None) -> DataFrame | None:
+    def tombstones(self, generation: int | None, sizes: Mapping[str, int] | None = None, told: Mapping[str, str] | None = None, deep: bool | None = None) -> DataFrame | None:
         if generation is None:
             return None
         where = tombstone_dir(generation)
         if sizes is not None and {k: v for k, v in self.files.sizes(where).items() if k.endswith(".parquet")} != dict(sizes):
             raise CorruptIndexError(f"tombstones {generation} don't have their files")
+        if told is not None and (sum((sizes or {}).values()) <= DIGEST_BYTES if deep is None else deep) and digests(self.files, where) != dict(told):
+            raise CorruptIndexError(f"a file of tombstones {generation} has been changed")
         return self.spark.read.schema("segment int, doc_id long").parquet(self.files.at(where))
 
 
@@ -268,10 +284,11 @@ class Index:
         return manifest
 
     def open_reader(self) -> IndexSnapshot:
+        """Lengths of all files are checked, and the digests of segments and tombstones of up to DIGEST_BYTES; verify() checks all."""
         m = self.manifest()
         for g in m.segments:
             self.segments.describe(g)
-        return self.reader(m.segments, self.segments.tombstones(m.tombstones, m.tombstone_files), m.commit_generation)
+        return self.reader(m.segments, self.segments.tombstones(m.tombstones, m.tombstone_files, m.tombstone_digests), m.commit_generation)
 
     def reader(self, generations, deleted: DataFrame | None, commit_generation: int | None) -> IndexSnapshot:
         owner = self.registry.acquire("reader", generations)
@@ -285,8 +302,10 @@ class Index:
 
     def verify(self) -> None:
         """Reads every committed segment whole; CorruptIndexError if something doesn't fit."""
-        for g in self.manifest().segments:
+        m = self.manifest()
+        for g in m.segments:
             self.segments.verify(g)
+        self.segments.tombstones(m.tombstones, m.tombstone_files, m.tombstone_digests, deep=True)
 
     def collect_garbage(self) -> tuple[str, ...]:
         """Removes complete segments that neither the manifest nor anyone in this process uses."""

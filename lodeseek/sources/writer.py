@@ -21,7 +21,7 @@ from ..errors import AlreadyClosedError, CloseError, WriterAlreadyOpenError
 from ..functions.analysis import analyzer_named
 from ..operators import inversion
 from ..operators.snapshot import IndexSnapshot
-from .store import Index, Manifest, SegmentDescriptor, dumps, tombstone_dir
+from .store import Index, Manifest, SegmentDescriptor, digests, dumps, tombstone_dir
 
 LOCK = ".writer.lock"
 DOC = ["segment", "doc_id"]
@@ -50,12 +50,17 @@ class Buffered:
 
 
 class IndexWriter:
-    def __init__(self, index: Index, flush_policy: FlushPolicy | None = None):
+    """owner: a name that is one process's at a time by other means, such as a stream's checkpoint; a lock that a writer of this name left behind is taken over."""
+
+    def __init__(self, index: Index, flush_policy: FlushPolicy | None = None, owner: str | None = None):
         self.index, self.flush_policy, self.state = index, flush_policy or FlushPolicy(), WriterState.OPEN
+        mine = dumps({"pid": os.getpid(), "owner": owner})
         try:
-            index.files.create(LOCK, dumps({"pid": os.getpid()}))
+            index.files.create(LOCK, mine)
         except FileExistsError as e:
-            raise WriterAlreadyOpenError(f"another writer is open: {index.path}") from e
+            if owner is None or index.files.read_json(LOCK).get("owner") != owner:
+                raise WriterAlreadyOpenError(f"another writer is open: {index.path}") from e
+            index.files.replace(LOCK, mine)
         try:
             m = index.manifest()
             self._segments, self._next = list(m.segments), m.next_segment
@@ -119,12 +124,12 @@ class IndexWriter:
         finally:
             self.index.files.remove(stage)
 
-    def _publish(self, rows: DataFrame) -> SegmentDescriptor | None:
+    def _publish(self, rows: DataFrame, small: bool = False) -> SegmentDescriptor | None:
         schema, g = self.index.schema, self.index.segments.free(self._next)
         d = inversion.with_all_fields(rows.withColumn("segment", F.lit(g)), schema)
         if d.isEmpty():
             return None
-        made = self.index.segments.publish(g, {"postings": inversion.postings(d, schema), "norms": inversion.norms(d, schema), "stored": inversion.stored(d, schema)})
+        made = self.index.segments.publish(g, {"postings": inversion.postings(d, schema), "norms": inversion.norms(d, schema), "stored": inversion.stored(d, schema)}, small)
         self._take([*self._segments, g], g + 1)
         return made
 
@@ -141,7 +146,7 @@ class IndexWriter:
             names = list(self.index.schema)
             rows = [(i, *(d.get(n) for n in names)) for i, d in enumerate(live)]
             columns = ", ".join(["doc_id long", *(f"`f_{n}` string" for n in names)])
-            made = self._publish(self.index.spark.createDataFrame(rows, columns).coalesce(1))
+            made = self._publish(self.index.spark.createDataFrame(rows, columns).coalesce(1), small=True)
         self._buffer = []
         return made
 
@@ -172,7 +177,7 @@ class IndexWriter:
         if found is None:
             return None, 0
         path = self.index.files.at(f"tombstones/.new-{uuid.uuid4().hex}")
-        found.coalesce(1).write.parquet(path)
+        found.write.parquet(path)
         return path, self.index.spark.read.parquet(path).count()
 
     def delete_by_term(self, field: str, term: str) -> int:
@@ -234,20 +239,21 @@ class IndexWriter:
         for g in self._segments:
             self.index.segments.describe(g)
         now = self.index.manifest()
-        tomb, sizes, deleted = now.tombstones, now.tombstone_files, self._deleted
+        tomb, sizes, told, deleted = now.tombstones, now.tombstone_files, now.tombstone_digests, self._deleted
         if self._dirty:
             dead = self._tombstones()
             dead = dead.where(F.col("segment").isin(*self._segments)).distinct() if dead is not None and self._segments else None
             if dead is None or dead.isEmpty():
-                tomb, sizes, deleted = None, {}, []
+                tomb, sizes, told, deleted = None, {}, {}, []
             else:
                 tomb = (tomb or 0) + 1
                 while self.index.files.exists(tombstone_dir(tomb)):
                     tomb += 1
-                dead.coalesce(1).write.parquet(self.index.files.at(tombstone_dir(tomb)))
+                dead.write.parquet(self.index.files.at(tombstone_dir(tomb)))
                 sizes = {k: v for k, v in self.index.files.sizes(tombstone_dir(tomb)).items() if k.endswith(".parquet")}
+                told = digests(self.index.files, tombstone_dir(tomb))
                 deleted = [self.index.files.at(tombstone_dir(tomb))]
-        made = replace(now, commit_generation=now.commit_generation + 1, segments=tuple(self._segments), tombstones=tomb, tombstone_files=sizes, next_segment=max(self._next, now.next_segment), batch=now.batch if batch is None else batch)
+        made = replace(now, commit_generation=now.commit_generation + 1, segments=tuple(self._segments), tombstones=tomb, tombstone_files=sizes, tombstone_digests=told, next_segment=max(self._next, now.next_segment), batch=now.batch if batch is None else batch)
         self.index.publish(made)
         self._deleted, self._dirty = deleted, False
         return made

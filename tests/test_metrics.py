@@ -29,3 +29,16 @@ def test_frames_agree_with_single_rankings(spark):
             got = {r[0]: r[1] for r in frame(queries, runs, rel, k).collect()}
             assert got == pytest.approx({q: one(q) for q in rankings})
     assert {r[0]: r[1] for r in M.reciprocal_rank(queries, runs, rel).collect()} == {"q1": 0.5, "q2": 0.0, "q3": 0.0}
+
+
+def test_frames_reject_repeated_documents_and_bad_grades(spark):
+    queries = spark.createDataFrame([("q",)], "query_id string")
+    runs = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "query_id string, doc_id long, rank int")
+    good = spark.createDataFrame([("q", 1, 1.0)], "query_id string, doc_id long, grade double")
+    for grade in (-1.0, float("inf"), float("nan")):
+        bad = spark.createDataFrame([("q", 1, grade)], good.schema)
+        with pytest.raises(Exception, match="finite"):
+            M.ndcg(queries, runs, bad, 5).collect()
+    with pytest.raises(Exception, match="twice"):
+        M.precision(queries, runs.unionByName(runs), good, 5).collect()
+    assert M.precision(queries, runs, good, 2).first().precision == 0.5

@@ -184,3 +184,22 @@ def test_phrases_are_marked_in_all_documents(spark):
     long = "so & of that " * 5000
     (row,) = spark.createDataFrame([(long,)], "t string").select(highlight(F.col("t"), queries.PHRASE, "text").alias("x")).collect()
     assert row.x == plain_marks(long, queries.PHRASE.terms)
+
+
+def test_long_texts_are_cut_and_marked_in_linear_time(spark):
+    """200,000 words in one text; offsets across all levels of blocks, and marks that overlap."""
+    import time
+
+    from lodeseek.functions.analysis import StandardTokenizer
+    from lodeseek.functions.highlight import highlight
+    from lodeseek.plans.query import BooleanClause, BooleanQuery, Occur, PhraseQuery, TermQuery
+
+    text = "a b & c  dé the " * 40_000
+    df = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    got = df.select(StandardTokenizer().column(df.t).alias("x")).first().x
+    want = StandardTokenizer().tokenize(text)
+    assert [tuple(g) for g in got] == [(w.term, w.position, w.start, w.end) for w in want] and len(got) == 200_000
+    q = BooleanQuery(tuple(BooleanClause(Occur.SHOULD, x) for x in (PhraseQuery("t", ("a", "b")), PhraseQuery("t", ("b", "c")), TermQuery("t", "dé"))))
+    assert df.select(highlight(df.t, q, "t")).first()[0] == "<em>a b &amp; c</em>  <em>dé</em> the " * 40_000
+    assert time.time() - began < 60

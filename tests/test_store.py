@@ -124,7 +124,7 @@ def test_bulk_add_is_dense_and_equal(spark, index):
         assert r.search(TermQuery("body", "w3")).total_hits == 7
         index.verify()
         plan = r.live_postings.where("field = 'body' and term = 'w3'")._jdf.queryExecution().executedPlan().toString()
-        assert "EqualTo(term,w3)" in plan and "PartitionFilters" in plan
+        assert "EqualTo(term,w3)" in plan and "EqualTo(field,body)" in plan
 
 
 def test_closing_neither_flushes_nor_commits(spark, index):
@@ -235,3 +235,59 @@ def test_relevance_corpus(spark, tmp_path):
             idf = math.log(1 + (2 - 1 + 0.5) / 1.5)
             want = 2.0 * (idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * (2 / 2.5)))) + idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * (3 / 2.0)))
             assert top.hits[0].score == pytest.approx(want, abs=1e-12)
+
+
+def test_a_changed_tombstone_file_is_noticed(spark, index):
+    with index.writer() as w:
+        for i in "12":
+            w.add_document(id=i, body="kept")
+        w.flush()
+        assert w.delete_by_term("id", "2") == 1
+        w.commit()
+    root = index.files.root.removeprefix("file:")
+    folder = f"{root}/tombstones/gen_000001"
+    name = next(n for n in os.listdir(folder) if n.startswith("part-"))
+    data = bytearray(open(f"{folder}/{name}", "rb").read())
+    data[6] ^= 1
+    os.path.exists(f"{folder}/.{name}.crc") and os.remove(f"{folder}/.{name}.crc")
+    open(f"{folder}/{name}", "wb").write(data)
+    with pytest.raises(CorruptIndexError):
+        index.open_reader()
+
+
+def test_digests_in_blocks_are_those_of_whole_files(spark, index, monkeypatch):
+    from lodeseek.sources import store
+
+    with index.writer() as w:
+        w.add_document(id="1", body="kept")
+        w.commit()
+    whole = store.digests(index.files, "segments/seg_000001")
+    monkeypatch.setattr(store, "WHOLE_BYTES", 0)
+    assert store.digests(index.files, "segments/seg_000001") == whole and len(whole) == 3
+
+
+def test_a_stream_takes_its_own_lock_over_and_merges_small_segments(spark, index):
+    rows = lambda i: spark.createDataFrame([(f"{i}", f"word w{i % 3}")], "id string, body string")
+    w = index.writer(owner="stream a")
+    w.close = lambda: None  # a driver that was killed
+    for other in (None, "stream b"):
+        with pytest.raises(WriterAlreadyOpenError):
+            index.writer(owner=other)
+    for batch in range(5):
+        assert ingest.add_batch(index, rows(batch), batch, "stream a", fan=2)
+    assert not ingest.add_batch(index, rows(4), 4, "stream a", fan=2)
+    with index.open_reader() as r:
+        assert found(r) == list("01234") and found(r, TermQuery("body", "w1")) == ["1", "4"]
+    assert len(index.manifest().segments) == 2  # of 4 documents and of 1
+
+
+def test_many_segments_are_one_scan(spark, index):
+    with index.writer() as w:
+        for i in range(4):
+            w.add_document(id=str(i), body="same")
+            w.flush()
+        w.commit()
+    with index.open_reader() as r:
+        plan = r.all_postings._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Union" not in plan
+        assert [(h.segment_generation, h.stored_fields["id"]) for h in r.search(TermQuery("body", "same")).hits] == [(i + 1, str(i)) for i in range(4)]
