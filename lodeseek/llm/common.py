@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import io
 import os
 import tempfile
 import uuid
@@ -33,8 +34,8 @@ def one_machine(spark: SparkSession) -> bool:
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package also where it isn't installed on them, and keep the session's Arrow batches short.
 
-    On a cluster the package travels to the executors as a zip archive, by Spark's own
-    file server, once a context; on one machine its folder is put on the workers' path.
+    On a cluster the package travels to the executors as a zip archive in the shared
+    folder, once a context; on one machine its folder is put on the workers' path.
     """
     if not 0 < int(spark.conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
@@ -44,13 +45,16 @@ def ready(spark: SparkSession) -> None:
         if ROOT not in have:
             sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     elif sc.applicationId not in _shipped:
-        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        with tempfile.TemporaryDirectory() as made:  # addPyFile keeps a copy of its own
-            with zipfile.ZipFile(f"{made}/{package}.zip", "w") as z:
-                for folder, _, names in os.walk(os.path.join(ROOT, package)):
-                    for n in sorted(n for n in names if n.endswith(".py")):
-                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), ROOT))
-            sc.addPyFile(f"{made}/{package}.zip")
+        package, held = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for folder, _, names in os.walk(os.path.join(ROOT, package)):
+                for n in sorted(n for n in names if n.endswith(".py")):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), ROOT))
+        fs, made = own_folder(spark, "package")
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{made}/{package}.zip"))
+        out.write(held.getvalue())
+        out.close()
+        sc.addPyFile(f"{made}/{package}.zip")
         _shipped.add(sc.applicationId)
 
 
@@ -65,16 +69,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def own_folder(spark: SparkSession, name: str) -> tuple:
+    """A new folder in the shared one, which the driver's end deletes, and its file system."""
+    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return fs, base
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; drop() deletes those that nothing reads any more, the driver's end the rest."""
 
     def __init__(self, spark: SparkSession, name: str):
         ready(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        p = spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(p)
-        fs.deleteOnExit(p)
+        self.spark, (_, self.base) = spark, own_folder(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
