@@ -386,234 +386,6 @@ x AS (SELECT p.doc_id, p.i, {esc('g[p.i]')} || CASE WHEN o.i IS NOT NULL AND b.i
 SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
 
 
-QUERIES: dict[str, Query] = {
-    "term_bm25": term("that"),
-    "keyword_term": term("en", "lang"),
-    "phrase_score": PHRASE,
-    "prefix_score": PrefixQuery("text", "whst"),
-    "match_all": MatchAllQuery(),
-    "bool_must": BooleanQuery((must(term("that")), must(term("with")))),
-    "bool_should": BooleanQuery((should(term("that")), should(term("von")))),
-    "bool_must_not": BooleanQuery((must(term("that")), never(term("with")))),
-    "bool_must_should": BooleanQuery((must(term("that")), should(term("with")), should(term("by")))),
-    "bool_only_not": BooleanQuery((never(term("that")),)),
-    "bool_duplicate": BooleanQuery((should(term("that")), should(term("that")))),
-    "bool_nested": NESTED,
-    "bool_with_prefix": BooleanQuery((must(PrefixQuery("text", "whi")), should(term("that")), never(term("fr", "lang")))),
-}
-PARSED = {
-    "parsed_query": ("that AND with AND -lang:fr", BooleanQuery((must(term("that")), must(term("with")), never(term("fr", "lang"))))),
-    "parsed_or_phrase": ('"of that" OR (by -lang:en)', BooleanQuery((should(PHRASE), should(BooleanQuery((should(term("by")), never(term("en", "lang")))))))),
-    "parsed_field_scope": ("lang:(en de) AND whst*", BooleanQuery((must(BooleanQuery((should(term("en", "lang")), should(term("de", "lang"))))), must(PrefixQuery("text", "whst"))))),
-}
-PART_QUERY = BooleanQuery((should(term("steel", "p_name")), should(term("Brand#23", "p_brand"))))
-TEXTS = {"q1": "that", "q2": "von OR und", "q3": '"of that"', "q4": "whst*", "q5": "lang:es AND de"}
-
-
-def run_scored(q: Query, **how) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: rounded(documents(s, d).scored(q, **how))
-
-
-def tokenize_standard(s: SparkSession, d: str) -> DataFrame:
-    t = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", F.explode(StandardAnalyzer().column(F.col("text"))).alias("t"))
-    return t.select("doc_id", "t.term", F.col("t.position").alias("pos"), F.col("t.start").alias("start_offset"), F.col("t.end").alias("end_offset"))
-
-
-def tokenize_keyword(s: SparkSession, d: str) -> DataFrame:
-    t = s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.explode(KeywordAnalyzer().column(F.col("n_name"))).alias("t"))
-    return t.select("n_nationkey", "t.term", F.col("t.end").alias("end_offset"))
-
-
-def stopword_gap(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of words with exactly one stop word between them."""
-    docs = documents(s, d)
-    return matching.phrase_documents(docs.live_postings, GAP).select("doc_id")
-
-
-def postings_build(s: SparkSession, d: str) -> DataFrame:
-    return documents(s, d).live_postings.where("field = 'text'").select("doc_id", "term", "tf", "dl", F.concat_ws(",", "positions").alias("places"))
-
-
-def norms(s: SparkSession, d: str) -> DataFrame:
-    return documents(s, d).norms.select("field", "doc_id", "length")
-
-
-def term_dictionary(s: SparkSession, d: str) -> DataFrame:
-    return documents(s, d).all_postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-
-
-def corpus_stats_avgdl(s: SparkSession, d: str) -> DataFrame:
-    docs = documents(s, d)
-    return docs.norms.where("length > 0").groupBy("field").agg((F.sum("length") / F.count("*").cast("double")).alias("avgdl")).crossJoin(docs.documents.agg(F.count("*").alias("n"))).select("field", F.round("avgdl", 9).alias("avgdl"), "n")
-
-
-def parsed(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: rounded(documents(s, d).scored(parse_query(text, DOCS, "text")))
-
-
-def by_sets(how: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        p = documents(s, d).live_postings
-        a, b = matching.term_documents(p, "text", "that"), matching.term_documents(p, "text", "with")
-        found = {"conjunction": lambda: matching.conjunction([a, b]), "disjunction": lambda: matching.disjunction([a, b]), "req_excl": lambda: matching.excluding(a.select("segment", "doc_id"), b)}[how]()
-        return found.select("doc_id")
-
-    return run
-
-
-def topk(q: Query, k: int) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: rounded(documents(s, d).top(q, k))
-
-
-def total_hits(s: SparkSession, d: str) -> DataFrame:
-    return documents(s, d).scored(NESTED).agg(F.count("*").alias("total_hits"))
-
-
-def _fetched(docs: IndexSnapshot) -> DataFrame:
-    """Winners first, narrow; then what is stored of them."""
-    got = docs.fetched(docs.top(SCORED_QUERIES["bool_should"], 10))
-    return got.select("doc_id", F.round("score", 6).alias("score"), F.col("f_text").alias("text"), F.col("f_lang").alias("lang"), F.col("f_source").alias("source"))
-
-
-def highlighted(q: Query) -> Callable[[SparkSession, str], DataFrame]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        docs = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
-        return docs.select("doc_id", F.sha2(highlight(F.col("text"), q, "text"), 256).alias("html_sha256"))
-
-    return run
-
-
-NEW_DOCUMENT = {"doc_id": "-1", "text": "that which is new", "lang": "en", "source": "update"}
-
-
-def stored_life(s: SparkSession, d: str) -> dict:
-    """One index written to the shared folder and its readers along its life, each at a point in time.
-
-    Odd and even documents become a segment each; French ones are deleted by term; Spanish ones are
-    replaced by one document, seen by a refresh before it is committed; the segments are merged.
-    Every reader but the refresh's is opened anew from the files.
-    """
-    path = f"{d}/documents.parquet"
-    at = (s.sparkContext.applicationId, d, stamp(s, path))
-    if at in _lives:
-        return _lives[at]
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodeseek-index-')}"
-    rows = s.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in DOCS])
-    odd = F.col("doc_id").cast("long") % 2 != 0
-    folder, life = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", {}
-
-    def reopened() -> IndexSnapshot:
-        return Index.open(s, folder, DOCS).open_reader()
-
-    with Index.create(s, folder, DOCS) as index, index.writer() as w:
-        made = [w.add_dataframe(rows.where(odd)), w.add_dataframe(rows.where(~odd))]
-        w.commit()
-        life["whole"] = reopened()
-        life["deleted"] = w.delete_by_term("lang", "fr")
-        life["deleted_again"] = w.delete_by_term("lang", "fr")
-        w.commit()
-        life["without"] = reopened()
-        life["replaced"] = w.update_document(field="lang", term="es", **NEW_DOCUMENT)
-        life["refreshed"] = w.refresh()
-        w.commit()
-        life["merged_docs"] = w.merge([m.generation for m in made if m]).max_doc
-        w.commit()
-        life["merged"] = reopened()
-        index.verify()
-    _lives[at] = life
-    return life
-
-
-def by_id(reader: IndexSnapshot, found: DataFrame) -> DataFrame:
-    """doc_id as it is stored, and score if there is one, of what a reader found."""
-    ids = reader.documents.select("segment", F.col("doc_id").alias("_d"), F.col("f_doc_id").cast("long").alias("id"))
-    out = found.withColumnRenamed("doc_id", "_d").join(ids, ["segment", "_d"])
-    return out.select(F.col("id").alias("doc_id"), *[F.round("score", 6).alias("score")] * ("score" in found.columns))
-
-
-def stored_scored(when: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        reader = stored_life(s, d)[when]
-        return by_id(reader, reader.scored(q))
-
-    return run
-
-
-def delete_live(s: SparkSession, d: str) -> DataFrame:
-    reader = stored_life(s, d)["without"]
-    return by_id(reader, reader.documents.select("segment", "doc_id"))
-
-
-def lifecycle_counts(s: SparkSession, d: str) -> DataFrame:
-    """What deleting, updating and merging told, and what the last reader holds."""
-    life = stored_life(s, d)
-    told = [life["deleted"], life["deleted_again"], life["replaced"], life["merged_docs"], life["merged"].num_live_docs, life["without"].max_doc]
-    return s.createDataFrame([tuple(told)], "deleted long, deleted_again long, replaced long, merged_docs long, live_docs long, max_doc long")
-
-
-def batch_runs(s: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return documents(s, d).batch_top({i: parse_query(t, DOCS, "text") for i, t in TEXTS.items()}, k)
-
-
-def batch_topk(s: SparkSession, d: str) -> DataFrame:
-    return batch_runs(s, d).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
-
-
-def qrels(s: SparkSession, d: str) -> DataFrame:
-    """A document's quality mark is its grade for every query."""
-    ids = s.createDataFrame([(i,) for i in sorted(TEXTS)], "query_id string")
-    return s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("grade")).crossJoin(F.broadcast(ids))
-
-
-def metric(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        ids = s.createDataFrame([(i,) for i in sorted(TEXTS)], "query_id string")
-        runs, rel = batch_runs(s, d).select("query_id", "doc_id", "rank"), qrels(s, d)
-        if name == "mrr":
-            return metrics.reciprocal_rank(ids, runs, rel).agg(F.round(F.avg("rr"), 9).alias("mrr"))
-        made = {"precision": metrics.precision, "recall": metrics.recall, "ndcg": metrics.ndcg}[name](ids, runs, rel, 10)
-        return made.select("query_id", F.round(name, 9).alias(name))
-
-    return run
-
-
-def runs_sql() -> str:
-    each = " UNION ALL ".join(f"SELECT '{i}' AS query_id, id, score FROM ({result_sql(parse_query(t, DOCS, 'text'), 'documents', 'doc_id')})" for i, t in sorted(TEXTS.items()))
-    return f"WITH {scored_sql(DOCS, 'documents', 'doc_id')}, runs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({each})), top AS (SELECT * FROM runs WHERE rank <= 10), ids AS (SELECT unnest({sorted(TEXTS)}) AS query_id), judged AS (SELECT t.query_id, t.rank, coalesce(l.quality, 0) AS grade FROM top t LEFT JOIN labels l ON l.doc_id = t.id)"
-
-
-LOG2 = "[" + ", ".join(repr(math.log2(i + 2)) for i in range(10)) + "]"
-METRIC_SQL = {
-    "precision": "SELECT query_id, round(coalesce((SELECT count(*) FROM judged j WHERE j.query_id = ids.query_id AND grade > 0), 0) / 10.0::DOUBLE, 9) AS precision FROM ids",
-    "recall": "SELECT query_id, round((SELECT count(*) FROM judged j WHERE j.query_id = ids.query_id AND grade > 0) / (SELECT count(*) FROM labels WHERE quality > 0)::DOUBLE, 9) AS recall FROM ids",
-    "mrr": "SELECT round(avg(coalesce(1.0::DOUBLE / (SELECT min(rank) FROM judged j WHERE j.query_id = ids.query_id AND grade > 0), 0)), 9) AS mrr FROM ids",
-    "ndcg": f"SELECT query_id, round(coalesce((SELECT sum((2.0::DOUBLE ** grade - 1) / ({LOG2}[rank])) FROM judged j WHERE j.query_id = ids.query_id) / (SELECT sum((2.0::DOUBLE ** quality - 1) / ({LOG2}[r])) FROM (SELECT quality, row_number() OVER (ORDER BY quality DESC) AS r FROM labels) WHERE r <= 10), 0), 9) AS ndcg FROM ids",
-}
-ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-FR_LIVE = "SELECT * FROM documents WHERE lang IS DISTINCT FROM 'fr'"
-REPLACED = f"SELECT doc_id, text, lang, source FROM documents WHERE lang IS DISTINCT FROM 'fr' AND lang IS DISTINCT FROM 'es' UNION ALL SELECT {NEW_DOCUMENT['doc_id']}, '{NEW_DOCUMENT['text']}', '{NEW_DOCUMENT['lang']}', '{NEW_DOCUMENT['source']}'"
-
-
-def marked_sql(word: str) -> str:
-    """Words and the gaps before them in order; marked words never touch."""
-    esc = lambda c: ESCAPED.replace("text", c)
-    return rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM documents),
-p AS (SELECT doc_id, unnest(generate_series(1, len(g))) AS i, w, g FROM w),
-x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower(w[i]) = '{word}' THEN '<em>' || w[i] || '</em>' ELSE w[i] END AS s FROM p)
-SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
-
-
-def marked_pair_sql(first: str, second: str) -> str:
-    """As marked_sql, for two different words side by side."""
-    esc = lambda c: ESCAPED.replace("text", c)
-    return rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM documents),
-p AS (SELECT doc_id, unnest(generate_series(1, len(g))) AS i, w, g FROM w),
-x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower(w[i]) = '{first}' AND lower(w[i + 1]) = '{second}' THEN '<em>' || w[i] WHEN i > 1 AND lower(w[i - 1]) = '{first}' AND lower(w[i]) = '{second}' THEN w[i] || '</em>' ELSE w[i] END AS s FROM p)
-SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_standard": tokenize_standard,
     "tokenize_keyword": tokenize_keyword,
