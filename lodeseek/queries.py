@@ -7,17 +7,24 @@ the engine's own plans.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
+from .errors import QuerySyntaxError
 from .functions import metrics
-from .functions.analysis import KeywordAnalyzer, StandardAnalyzer
-from .functions.bm25 import BM25
+from .functions.analysis import Analyzer, KeywordAnalyzer, LowercaseFilter, StandardAnalyzer, StandardTokenizer, StopwordFilter, python_column
+from .functions.bm25 import BM25, PythonSimilarity
 from .functions.highlight import highlight
 from .operators import matching
 from .operators.inversion import spread
@@ -25,9 +32,14 @@ from .operators.snapshot import IndexSnapshot
 from .plans.parser import parse_query
 from .plans.query import BooleanClause, BooleanQuery, MatchAllQuery, Occur, PhraseQuery, PrefixQuery, Query, TermQuery
 from .schema import KeywordField, Schema, TextField
+from .sources.memory import MemoryIndex
+from .sources.relevance import read_documents
 from .sources.store import Index
+from .sources.writer import FlushPolicy
+from .streaming import ingest
 
 DOCS = Schema({"doc_id": KeywordField(stored=True), "text": TextField(stored=True), "lang": KeywordField(stored=True), "source": KeywordField(stored=True)})
+NATIONS = Schema({"n_name": TextField(stored=True), "n_regionkey": KeywordField(stored=True)})
 PARTS = Schema({"p_partkey": KeywordField(stored=True), "p_name": TextField(stored=True, boost=2.0), "p_type": KeywordField(stored=True), "p_brand": KeywordField(stored=True)})
 
 _kept: dict[tuple, tuple[tuple, IndexSnapshot]] = {}
@@ -253,6 +265,19 @@ def highlighted(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 NEW_DOCUMENT = {"doc_id": "-1", "text": "that which is new", "lang": "en", "source": "update"}
 
 
+def new_folder(s: SparkSession, name: str) -> str:
+    """In the shared folder; only where that is unset and there is but one machine (tests), a temporary one. The driver's end deletes it."""
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if s.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lodeseek-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def stored_life(s: SparkSession, d: str) -> dict:
     """One index written to the shared folder and its readers along its life, each at a point in time.
 
@@ -264,10 +289,9 @@ def stored_life(s: SparkSession, d: str) -> dict:
     at = (s.sparkContext.applicationId, d, stamp(s, path))
     if at in _lives:
         return _lives[at]
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodeseek-index-')}"
     rows = s.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in DOCS])
     odd = F.col("doc_id").cast("long") % 2 != 0
-    folder, life = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", {}
+    folder, life = new_folder(s, "index"), {}
 
     def reopened() -> IndexSnapshot:
         return Index.open(s, folder, DOCS).open_reader()
@@ -361,13 +385,13 @@ FR_LIVE = "SELECT * FROM documents WHERE lang IS DISTINCT FROM 'fr'"
 REPLACED = f"SELECT doc_id, text, lang, source FROM documents WHERE lang IS DISTINCT FROM 'fr' AND lang IS DISTINCT FROM 'es' UNION ALL SELECT {NEW_DOCUMENT['doc_id']}, '{NEW_DOCUMENT['text']}', '{NEW_DOCUMENT['lang']}', '{NEW_DOCUMENT['source']}'"
 
 
-def marked_sql(word: str) -> str:
+def marked_sql(*words: str) -> str:
     """Words and the gaps before them in order; marked words never touch."""
     esc = lambda c: ESCAPED.replace("text", c)
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}_]+') AS g FROM documents),
 p AS (SELECT doc_id, unnest(generate_series(1, len(g))) AS i, w, g FROM w),
-x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower(w[i]) = '{word}' THEN '<em>' || w[i] || '</em>' ELSE w[i] END AS s FROM p)
+x AS (SELECT doc_id, i, {esc('g[i]')} || CASE WHEN i > len(w) THEN '' WHEN lower(w[i]) IN ({', '.join(repr(t) for t in words)}) THEN '<em>' || w[i] || '</em>' ELSE w[i] END AS s FROM p)
 SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
 
 
@@ -386,6 +410,149 @@ x AS (SELECT p.doc_id, p.i, {esc('g[p.i]')} || CASE WHEN o.i IS NOT NULL AND b.i
 SELECT doc_id, sha256(string_agg(s, '' ORDER BY i)) AS html_sha256 FROM x GROUP BY doc_id"""
 
 
+class TfIdf:
+    """A similarity in plain Python."""
+
+    def term_score(self, tf: int, df: int, n: int, dl: float, avgdl: float) -> float:
+        return math.sqrt(tf) * math.log(1 + n / df)
+
+
+CUSTOM = Analyzer(StandardTokenizer(), (LowercaseFilter(), StopwordFilter({"of", "that", "von"})))
+
+
+def tokenize_custom(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of an analyzer put together by hand, as a Column and by plain Python, of all documents."""
+    docs = spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    both = docs.select("doc_id", CUSTOM.column(F.col("text")).alias("a"), python_column(CUSTOM, F.col("text")).alias("b"))
+    return both.select("doc_id", F.size("a").cast("long").alias("n_tokens"), (F.col("a") == F.col("b")).alias("same"), F.sha2(F.array_join(F.transform("a", lambda t: t["term"]), " "), 256).alias("terms_sha256"))
+
+
+def posting_counts(s: SparkSession, d: str) -> DataFrame:
+    """Distinct terms of each document, over all its fields."""
+    return documents(s, d).live_postings.groupBy("doc_id").agg(F.count("*").alias("n_postings"))
+
+
+def segment_ids(s: SparkSession, d: str) -> DataFrame:
+    """Documents of each committed segment, whose numbers there run from 0 without gaps."""
+    stored = stored_life(s, d)["whole"].documents
+    made = stored.groupBy("segment").agg(F.min(F.col("f_doc_id").cast("long") % 2).alias("odd"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
+    return made.select("odd", "n", "n_ids", "least", "greatest")
+
+
+def stored_postings(s: SparkSession, d: str) -> DataFrame:
+    """Postings as the committed files hold them, by the documents' own ids."""
+    reader = stored_life(s, d)["whole"]
+    ids = reader.documents.select("segment", F.col("doc_id").alias("_d"), F.col("f_doc_id").cast("long").alias("id"))
+    rows = reader.live_postings.where("field = 'text'").withColumnRenamed("doc_id", "_d").join(ids, ["segment", "_d"])
+    return rows.select(F.col("id").alias("doc_id"), "term", "tf", "dl", F.concat_ws(",", "positions").alias("places"))
+
+
+def hits_of(s: SparkSession, found, names: tuple[str, ...]) -> DataFrame:
+    """The few hits of a search on the driver as rows."""
+    rows = [(i, round(h.score, 6), found.total_hits, *(h.stored_fields.get(n) for n in names), h.highlights.get("text")) for i, h in enumerate(found.hits, 1)]
+    return s.createDataFrame(rows, ", ".join(["rank int, score double, total_hits long", *(f"{n} string" for n in names), "marked string"]))
+
+
+def searched_hits(s: SparkSession, d: str) -> DataFrame:
+    """A search by text as a user makes it: top hits with stored fields and marks, and the number of all."""
+    found = documents(s, d).search_text("that OR von", "text", 10, ("text",))
+    rows = hits_of(s, found, ("doc_id", "lang"))
+    return rows.select("rank", F.col("doc_id").cast("long").alias("doc_id"), "lang", "score", "total_hits", F.sha2("marked", 256).alias("html_sha256"))
+
+
+def nations(s: SparkSession, d: str) -> list[dict[str, str]]:
+    """The fixed 25 rows of nation as documents."""
+    rows = s.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").select(F.col("n_name").alias("n_name"), F.col("n_regionkey").cast("string")).collect()
+    return [r.asDict() for r in rows]
+
+
+def memory_index(s: SparkSession, d: str) -> DataFrame:
+    index = MemoryIndex(s, NATIONS)
+    for doc in nations(s, d):
+        index.add_document(**doc)
+    return hits_of(s, index.search_text("n_regionkey:1 OR nation_7", "n_name", 10), ("n_name", "n_regionkey")).drop("marked")
+
+
+def auto_flush(s: SparkSession, d: str) -> DataFrame:
+    """Single documents through a buffer of ten, then a deletion that meets both segments and buffer."""
+    with Index.create(s, new_folder(s, "flushed"), NATIONS) as index, index.writer(flush_policy=FlushPolicy(max_documents=10)) as w:
+        numbers = [w.add_document(**doc) for doc in nations(s, d)]
+        waiting, flushed = w.buffered_document_count, len(w.segment_generations)
+        deleted = w.delete_by_term("n_regionkey", "1")
+        w.commit()
+        with index.open_reader() as reader:
+            told = (max(numbers), waiting, flushed, deleted, reader.num_live_docs, reader.max_doc)
+    return s.createDataFrame([told], "last_number long, waiting long, flushed long, deleted long, live_docs long, max_doc long")
+
+
+def garbage(s: SparkSession, d: str) -> DataFrame:
+    """Segments that a merge replaced stay while a reader uses them and go afterwards."""
+    docs = nations(s, d)
+    with Index.create(s, new_folder(s, "merged"), NATIONS) as index, index.writer() as w:
+        made = []
+        for half in (docs[::2], docs[1::2]):
+            for doc in half:
+                w.add_document(**doc)
+            made.append(w.flush().generation)
+        w.commit()
+        reader = index.open_reader()
+        w.merge(made)
+        w.commit()
+        in_use, readers = len(index.collect_garbage()), len(index.lifecycle_diagnostics().reader_owners)
+        reader.close()
+        return s.createDataFrame([(in_use, readers, len(index.collect_garbage()), len(index.manifest().segments))], "removed_in_use long, readers long, removed_after long, segments long")
+
+
+def json_documents(s: SparkSession, d: str) -> DataFrame:
+    """All documents as JSON lines, read back and indexed."""
+    path = new_folder(s, "json")
+    s.read.parquet(f"{d}/documents.parquet").select(*[F.col(c).cast("string").alias(c) for c in DOCS]).write.json(path)
+    return read_documents(s, path, DOCS, multi_line=False).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "lang", "source")
+
+
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """The documents, laid down as files, streamed into an index a file a batch; the same query on what was committed."""
+    base = new_folder(s, "stream")
+    s.read.parquet(f"{d}/documents.parquet").select(*[F.col(c).cast("string").alias(c) for c in DOCS]).repartition(3).write.parquet(f"{base}/in")
+    schema = ", ".join(f"{c} string" for c in DOCS)
+    index = Index.create(s, f"{base}/index", DOCS)
+    ingest.start(s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), index, f"{base}/checkpoint", fan=2).awaitTermination()
+    reader = index.open_reader()
+    return by_id(reader, reader.scored(NESTED))
+
+
+#: Query texts that are no queries, and the place of the first thing wrong.
+WRONG = {"": 0, "that AND": 8, "(that": 5, "nothing:that": 0, '"open': 0, "th*at": 2, "that )": 5, "the": 0, '"of \\q"': 4, "()": 1}
+
+
+def parse_errors(s: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for text in WRONG:
+        try:
+            rows.append((text, f"{parse_query(text, DOCS, 'text')}", -1))
+        except QuerySyntaxError as e:
+            rows.append((text, type(e).__name__, e.offset))
+    return s.createDataFrame(rows, "query string, error string, place int")
+
+
+def command_line(s: SparkSession, d: str) -> DataFrame:
+    """create, add, search, delete and merge as a user types them, over the nations; what each printed."""
+    index, said = new_folder(s, "cli"), []
+    with tempfile.TemporaryDirectory() as here:
+        files = []
+        for i, doc in enumerate(nations(s, d)):
+            files.append(f"{here}/{i:02d}.json")
+            Path(files[-1]).write_text(json.dumps(doc), encoding="utf-8")
+        Path(f"{here}/schema.json").write_text(json.dumps({"fields": NATIONS.to_dict()}), encoding="utf-8")
+        for line in (["create", index, "--schema", f"{here}/schema.json"], ["add", index, *files[:10]], ["add", index, *files[10:]], ["merge", index, "1", "2"], ["delete", index, "n_regionkey", "1"], ["search", index, "n_regionkey:(2 1)", "--default-field", "n_name", "--top-k", "3"], ["merge", index, "9", "8"]):
+            out, err = io.StringIO(), io.StringIO()
+            with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+                status = cli.main(line, s)
+            told = json.loads(out.getvalue() or "{}")
+            said.append((len(said), line[0], status, told.get("added"), told.get("deleted"), told.get("commit_generation"), told.get("total_hits"), ",".join(h["stored_fields"]["n_name"] for h in told.get("hits", [])), err.getvalue().startswith("error: ")))
+    return s.createDataFrame(said, "step int, command string, status int, added long, deleted long, commit_generation long, total_hits long, names string, error boolean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_standard": tokenize_standard,
     "tokenize_keyword": tokenize_keyword,
@@ -430,6 +597,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recall_at_k": metric("recall"),
     "mrr": metric("mrr"),
     "ndcg_at_k": metric("ndcg"),
+    "tokenize_custom": tokenize_custom,
+    "python_similarity": run_scored(term("that"), similarity=PythonSimilarity(TfIdf())),
+    "parsed_many_terms": parsed("of.that AND with"),
+    "parse_errors": parse_errors,
+    "posting_counts": posting_counts,
+    "segment_ids": segment_ids,
+    "stored_postings": stored_postings,
+    "searched_hits": searched_hits,
+    "memory_index": memory_index,
+    "auto_flush": auto_flush,
+    "garbage": garbage,
+    "json_documents": json_documents,
+    "stream_ingest": stream_ingest,
+    "command_line": command_line,
 }
 
 _T = tokens_sql(DOCS, "documents", "doc_id")
@@ -483,7 +664,27 @@ ORACLES: dict[str, str] = {
     "recall_at_k": f"{runs_sql()} {METRIC_SQL['recall']}",
     "mrr": f"{runs_sql()} {METRIC_SQL['mrr']}",
     "ndcg_at_k": f"{runs_sql()} {METRIC_SQL['ndcg']}",
+    "tokenize_custom": r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, text IS NOT NULL AS same, sha256(array_to_string(w, ' ')) AS terms_sha256 FROM (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)), lambda x: x NOT IN ('of', 'that', 'von')) AS w FROM documents)",
+    "python_similarity": f"WITH {_T}, p AS (SELECT id, count(*) AS tf FROM tok WHERE field = 'text' AND term = 'that' GROUP BY id) SELECT id AS doc_id, round(sqrt(tf) * ln(1 + (SELECT count(*) FROM documents) / (SELECT count(*) FROM p)::DOUBLE), 6) AS score FROM p",
+    "parsed_many_terms": query_sql(BooleanQuery((must(BooleanQuery((should(term("of")), should(term("that"))))), must(term("with"))))),
+    "parse_errors": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', 'QuerySyntaxError', {at}::INTEGER)" for t, at in WRONG.items()) + ") AS t(query, error, place)",
+    "posting_counts": f"WITH {_T} SELECT id AS doc_id, count(*) AS n_postings FROM (SELECT DISTINCT id, field, term FROM tok) GROUP BY id",
+    "segment_ids": "SELECT doc_id % 2 AS odd, count(*) AS n, count(*) AS n_ids, CAST(0 AS BIGINT) AS least, count(*) - 1 AS greatest FROM documents GROUP BY doc_id % 2",
+    "searched_hits": f"WITH found AS ({top_sql(query_sql(SCORED_QUERIES['bool_should']), 10)}), marks AS ({marked_sql('that', 'von')}) SELECT CAST(row_number() OVER (ORDER BY f.score DESC, f.doc_id) AS INTEGER) AS rank, f.doc_id, d.lang, f.score, (SELECT count(*) FROM ({ids_sql(SCORED_QUERIES['bool_should'])})) AS total_hits, m.html_sha256 FROM found f JOIN documents d USING (doc_id) JOIN marks m USING (doc_id)",
+    "memory_index": "WITH n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (n_regionkey = 1) AS df FROM nation), s AS (SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, CASE WHEN n_regionkey = 1 THEN ln(1 + (n.n - n.df + 0.5::DOUBLE) / (n.df + 0.5::DOUBLE)) ELSE 0 END + CASE WHEN n_name = 'NATION_7' THEN ln(1 + (n.n - 0.5::DOUBLE) / 1.5::DOUBLE) ELSE 0 END AS score FROM nation, n) SELECT CAST(row_number() OVER (ORDER BY score DESC, n_nationkey) AS INTEGER) AS rank, round(score, 6) AS score, count(*) OVER () AS total_hits, n_name, n_regionkey FROM s WHERE score > 0 ORDER BY rank LIMIT 10",
+    "auto_flush": "SELECT CAST(9 AS BIGINT) AS last_number, n - n // 10 * 10 AS waiting, n // 10 AS flushed, r AS deleted, n - r AS live_docs, n - late AS max_doc FROM (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 1) AS r, count(*) FILTER (n_regionkey = 1 AND n_nationkey >= 20) AS late FROM nation)",
+    "garbage": "SELECT CAST(0 AS BIGINT) AS removed_in_use, CAST(1 AS BIGINT) AS readers, CAST(2 AS BIGINT) AS removed_after, CAST(1 AS BIGINT) AS segments",
+    "json_documents": "SELECT doc_id, sha256(text) AS text_sha256, lang, source FROM documents",
+    "stream_ingest": query_sql(NESTED),
+    "command_line": "WITH n AS (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 1) AS ones, count(*) FILTER (n_regionkey = 2) AS twos, (SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM (SELECT * FROM nation WHERE n_regionkey = 2 ORDER BY n_nationkey LIMIT 3)) AS names FROM nation) "
+    "SELECT step, command, status, added, deleted, commit_generation, total_hits, names, error FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS step, '{c}' AS command, {st}::INTEGER AS status, CAST({ad} AS BIGINT) AS added, CAST({de} AS BIGINT) AS deleted, CAST({ge} AS BIGINT) AS commit_generation, CAST({hi} AS BIGINT) AS total_hits, {na} AS names, {er} AS error FROM n"
+        for i, (c, st, ad, de, ge, hi, na, er) in enumerate([("create", 0, "NULL", "NULL", "NULL", "NULL", "''", "false"), ("add", 0, "10", "NULL", "1", "NULL", "''", "false"), ("add", 0, "n - 10", "NULL", "2", "NULL", "''", "false"), ("merge", 0, "NULL", "NULL", "3", "NULL", "''", "false"), ("delete", 0, "NULL", "ones", "4", "NULL", "''", "false"), ("search", 0, "NULL", "NULL", "NULL", "twos", "n.names", "false"), ("merge", 2, "NULL", "NULL", "NULL", "NULL", "''", "true")])
+    )
+    + ")",
 }
+ORACLES["stored_postings"] = ORACLES["postings_build"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
