@@ -28,16 +28,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(j.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether a round's edges, which lead from greater to smaller nodes, are stars: each node leads to one other at most, and none that is led to leads on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return node.where("up > 1 or (up = 1 and n > 1)").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """edges: u, v longs. One row (node, label) for each node that has an edge; label: the smallest node reachable."""
     clean = lambda e: e.where("u <> v").distinct()
     now = scratch.save(clean(edges.select("u", "v")), f"{name}0")
-    told = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    mark, last, i = told(now), None, 0
-    while mark != last:  # a round that changes nothing ends it; on n nodes it takes at most some log(n) ** 2 rounds
-        i, last = i + 1, mark
+    i = 0
+    while i == 0 or not _settled(now):  # on n nodes it takes at most some log(n) ** 2 rounds
+        i += 1
         now = scratch.save(clean(_small_star(clean(_large_star(now)))), f"{name}{i}")
-        mark = told(now)
         scratch.drop(f"{name}{i - 1}")
     # every edge now leads from a node to its component's smallest
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
