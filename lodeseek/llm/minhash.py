@@ -174,11 +174,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.save(docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, entries array<long>"), "signed")
     some = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = scratch.save(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    k = classes.select(F.col("set_key").alias("_key"), "rep")
-    reps = signed.join(k, (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key"))).select("rep", F.col("n_shingles").alias("n"), "entries").dropDuplicates(["rep", "n", "entries"])
+    # equal sets have equal entries, so any row of a class tells them
+    rows = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("entries").alias("entries"))
+    classes = scratch.save(rows, "classes")
 
-    each = scratch.save(reps.select("rep", F.posexplode("entries").alias("e", "entry")), "entries")
+    each = scratch.save(classes.select("rep", F.posexplode("entries").alias("e", "entry")), "entries")
     shared = each.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select(F.col("entry").alias("_entry"), "c")
     side = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("e", "entry"))))
     left = each.join(shared, F.col("entry") == F.col("_entry")).groupBy("rep").agg(F.sum("c").alias("known"), side(F.col("e") < M).alias("a"), side(F.col("e") >= M).alias("b"))
