@@ -9,7 +9,7 @@ comes after cutting, for it may change lengths.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
@@ -23,7 +23,9 @@ OTHER = r"[^\p{L}\p{N}_]+"
 #: The stop words of the standard analyzer.
 STOPWORDS = frozenset({"the"})
 BLOCK = 16
+PYTHON_CHARS = 1 << 18
 TOKEN_TYPE = "array<struct<term:string,position:int,start:int,end:int>>"
+TERM_TYPE = "array<struct<term:string,position:int>>"
 
 
 @dataclass(frozen=True)
@@ -119,9 +121,9 @@ class StandardTokenizer:
         pair = bound(F.struct(words.alias("w"), gaps.alias("g")), lambda x: F.struct(x["w"].alias("w"), lengths(x["w"], x["g"]).alias("n")))
         return F.when(text.isNotNull(), bound(pair, placed))
 
-    def terms(self, text: Column) -> Column:
-        """Words and positions only: what the index needs, in time proportional to the text."""
-        return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w, i: F.struct(w.alias("term"), i.alias("position")))
+    def terms(self, text: Column, of: Callable[[Column], Column]) -> Column:
+        """of(word) and positions only: what the index needs, in time proportional to the text."""
+        return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w, i: F.struct(of(w).alias("term"), i.alias("position")))
 
 
 class KeywordTokenizer:
@@ -131,16 +133,19 @@ class KeywordTokenizer:
     def column(self, text: Column) -> Column:
         return F.when(text != "", F.array(_token(text, F.lit(0), F.lit(0), F.length(text)))).otherwise(F.array().cast(TOKEN_TYPE))
 
-    def terms(self, text: Column) -> Column:
-        return F.transform(self.column(text), lambda t: F.struct(t["term"].alias("term"), t["position"].alias("position")))
+    def terms(self, text: Column, of: Callable[[Column], Column]) -> Column:
+        return F.when(text != "", F.array(F.struct(of(text).alias("term"), F.lit(0).alias("position")))).otherwise(F.array().cast(TERM_TYPE))
 
 
 class LowercaseFilter:
     def apply(self, tokens: Iterable[Token]) -> list[Token]:
         return [Token(t.term.lower(), t.position, t.start, t.end) for t in tokens]
 
+    def word(self, term: Column) -> Column:
+        return F.lower(term)
+
     def column(self, tokens: Column) -> Column:
-        return F.transform(tokens, lambda t: t.withField("term", F.lower(t["term"])))
+        return F.transform(tokens, lambda t: t.withField("term", self.word(t["term"])))
 
 
 class StopwordFilter:
@@ -168,15 +173,32 @@ class Analyzer:
         return reduce(lambda tokens, f: f.column(tokens), self.filters, self.tokenizer.column(text))
 
     def terms(self, text: Column) -> Column:
-        """An array of (term, position), without offsets."""
-        made = getattr(self.tokenizer, "terms", self.tokenizer.column)(text)
-        return reduce(lambda tokens, f: f.column(tokens), self.filters, made)
+        """An array of (term, position), without offsets. First filters that change single words do so as these are cut: each pass over an array of structs costs more than the cutting."""
+        if not hasattr(self.tokenizer, "terms"):
+            return F.transform(self.column(text), lambda t: F.struct(t["term"].alias("term"), t["position"].cast("int").alias("position")))
+        n = next((i for i, f in enumerate(self.filters) if not hasattr(f, "word")), len(self.filters))
+        made = self.tokenizer.terms(text, lambda w: reduce(lambda w, f: f.word(w), self.filters[:n], w))
+        return reduce(lambda tokens, f: f.column(tokens), self.filters[n:], made)
 
 
 def python_column(analyzer: Analyzer, text: Column) -> Column:
-    """Tokens of an analyzer with stages that have no Column form, by an Arrow-batched UDF."""
-    def analyze(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [(x.term, x.position, x.start, x.end) for x in analyzer.analyze(t)] for t in texts])
+    """Tokens of an analyzer with stages that have no Column form, by an Arrow-batched UDF.
+
+    A batch's texts are analyzed and sent back some PYTHON_CHARS at a time, for tokens take a hundred times the memory of their characters.
+    """
+    most = PYTHON_CHARS
+
+    def analyze(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made, chars = [], 0
+            for t in texts:
+                made.append(None if t is None else [(x.term, x.position, x.start, x.end) for x in analyzer.analyze(t)])
+                chars += 0 if t is None else len(t)
+                if chars >= most:
+                    yield pd.Series(made)
+                    made, chars = [], 0
+            if made:
+                yield pd.Series(made)
 
     return F.pandas_udf(analyze, TOKEN_TYPE)(text)
 
