@@ -9,20 +9,24 @@ norms:     segment, field, doc_id, length; a row for each document and indexed f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import analyzer_named, bound
+from ..functions.analysis import TERM_TYPE, analyzer_named, bound
 from ..schema import Schema
 
 KEYS = ("segment", "doc_id")
+#: Of compressed texts; their postings take some four times as much in memory.
+SPREAD_BYTES = 16 << 20
+#: Documents of one row of renumbered()'s table: 64 words of 64 bits.
+BLOCK_BITS = 12
 
 
 def field_terms(schema: Schema, name: str) -> Column:
     """Indexed terms and positions of one field; empty where the field is left out."""
-    empty = F.array().cast("array<struct<term:string,position:int>>")
-    made = analyzer_named(schema[name].analyzer_name).terms(F.col(f"`f_{name}`"))
-    return F.coalesce(F.transform(made, lambda t: F.struct(t["term"].alias("term"), t["position"].cast("int").alias("position"))), empty)
+    return F.coalesce(analyzer_named(schema[name].analyzer_name).terms(F.col(f"`f_{name}`")), F.array().cast(TERM_TYPE))
 
 
 def grouped(terms: Column, keep: bool) -> Column:
@@ -73,9 +77,12 @@ def named(df: DataFrame, *more) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it has fewer partitions than those: a small table in one file would be analyzed by one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df over all cores, and in partitions of some SPREAD_BYTES of what it is read from: a table in one file, or in few, would be analyzed by few tasks, and a task's postings would grow with the table."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # Spark's way to say that it doesn't know
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def with_all_fields(df: DataFrame, schema: Schema) -> DataFrame:
@@ -101,13 +108,47 @@ def dense_ids(at: DataFrame) -> DataFrame:
     return own.withColumn("doc_id", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
 
 
+def renumbered(dead: DataFrame | None, sizes: Mapping[int, int], spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Gives tables of some segments (sizes: their documents, in order) without the dead documents, and the others' doc_id 0.. in order over all segments.
+
+    No join of a table's rows with documents: who is dead is a bit, 64 words of them a row with the
+    counts of the dead before each, and how many live before each 4,096 documents is known to the
+    driver. So the broadcast table takes some two bits a document.
+    """
+    word, block = F.shiftright("doc_id", 6).bitwiseAND(63).cast("int"), F.shiftright("doc_id", BLOCK_BITS)
+    bit = lambda of: F.call_function("shiftleft", F.lit(of).cast("long"), F.col("doc_id").bitwiseAND(63).cast("int"))
+    words = spark.createDataFrame([], "_s int, _b long, _words array<long>, _ranks array<int>")
+    if dead is not None:
+        found = dead.where(F.col("segment").isin(*sizes)).groupBy(F.col("segment").alias("_s"), block.alias("_b"), word.alias("w")).agg(F.bit_or(bit(1)).alias("bits"))
+        each = found.groupBy("_s", "_b").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+        each = each.select("_s", "_b", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("_words"))
+        ranks = F.transform("_words", lambda _, i: F.aggregate(F.slice("_words", F.lit(1), i), F.lit(0), lambda a, w: a + F.bit_count(w)))
+        words = each.withColumn("_ranks", ranks)
+    gone = {(r[0], r[1]): r[2] for r in words.select("_s", "_b", F.aggregate("_words", F.lit(0), lambda a, w: a + F.bit_count(w))).collect()}
+    starts, total = [], 0
+    for segment, n in sizes.items():
+        for b in range(-(-n >> BLOCK_BITS)):
+            starts.append((segment, b, total))
+            total += min(1 << BLOCK_BITS, n - (b << BLOCK_BITS)) - gone.get((segment, b), 0)
+    blocks = spark.createDataFrame(starts, "_s int, _b long, _start long").join(words, ["_s", "_b"], "left")
+
+    def again(df: DataFrame) -> DataFrame:
+        own = df.join(F.broadcast(blocks), (F.col("segment") == F.col("_s")) & (block == F.col("_b")))
+        mine = F.get("_words", word)
+        live = own.where(F.col("_words").isNull() | (mine.bitwiseAND(bit(1)) == 0))
+        before = F.coalesce(F.get("_ranks", word) + F.bit_count(mine.bitwiseAND(F.bitwise_not(bit(-1)))), F.lit(0))
+        return live.withColumn("doc_id", F.col("_start") + F.col("doc_id").bitwiseAND((1 << BLOCK_BITS) - 1) - before).drop("_s", "_b", "_start", "_words", "_ranks")
+
+    return again
+
+
 def validate(parts: dict[str, DataFrame], max_doc: int) -> list[str]:
     """What is wrong with a segment's tables, by aggregates over them; empty if nothing is."""
     p = parts["postings"]
     n = p.agg(
         F.count_if((F.col("doc_id") < 0) | (F.col("doc_id") >= max_doc)).alias("a document out of range"),
         F.count_if((F.col("tf") < 1) | ((F.size("positions") > 0) & (F.size("positions") != F.col("tf")))).alias("a frequency that isn't its positions"),
-        F.count_if(F.exists(F.sequence(F.lit(1), F.greatest(F.size("positions") - 1, F.lit(1))), lambda i: (i < F.size("positions")) & (F.get("positions", i) <= F.get("positions", i - 1)))).alias("positions that don't rise"),
+        F.count_if(F.when(F.size("positions") > 1, F.exists(F.sequence(F.lit(1), F.size("positions") - 1), lambda i: F.get("positions", i) <= F.get("positions", i - 1)))).alias("positions that don't rise"),
         F.count_if(F.coalesce(F.col("term"), F.lit("")) == "").alias("an empty term"),
     ).first()
     d = parts["stored"].agg(F.count("*"), F.countDistinct("doc_id")).first()

@@ -4,9 +4,9 @@
     segments/seg_000001/{postings,norms,stored}/*.parquet, segment.json
     tombstones/gen_000001/*.parquet
 
-Postings are dealt by ranges of field, term and document and sorted in this order, so a
-term lies in few files of a segment, a common one is split over several, and a scan skips
-what the statistics of files' row groups rule out. All segments are read in one scan; a
+Postings stay in the partition their documents are in, sorted there by field, term and
+document, so no posting is exchanged, a term's are split as the documents are, and a scan skips
+what the statistics of files' row groups and pages rule out. All segments are read in one scan; a
 row's segment comes from its file's path. Nothing is ever changed in place; the manifest,
 put in place in one step, is the only root after a restart.
 """
@@ -161,8 +161,8 @@ class Segments:
             generation += 1
         return generation
 
-    def publish(self, generation: int, tables: Mapping[str, DataFrame], small: bool = False) -> SegmentDescriptor:
-        """Writes beside, describes, renames; a failure leaves nothing under the segment's name. small: in one partition already, so nothing is to be dealt."""
+    def publish(self, generation: int, tables: Mapping[str, DataFrame]) -> SegmentDescriptor:
+        """Writes beside, describes, renames; a failure leaves nothing under the segment's name."""
         if self.files.exists(segment_dir(generation)):
             raise FileExistsError(segment_dir(generation))
         tmp = f"segments/.tmp-{uuid.uuid4().hex}"
@@ -170,7 +170,7 @@ class Segments:
             for name, df in tables.items():
                 w = df.drop("segment")
                 if name == "postings":
-                    w = (w if small else w.repartitionByRange("field", "term", "doc_id")).sortWithinPartitions("field", "term", "doc_id")
+                    w = w.sortWithinPartitions("field", "term", "doc_id")
                 w.write.option("maxRecordsPerFile", FILE_ROWS[name]).parquet(self.files.at(f"{tmp}/{name}"))
             sizes = {k: v for k, v in self.files.sizes(tmp).items() if k.endswith(".parquet")}
             about = {"format_version": FORMAT, "generation": generation, "schema_fingerprint": self.schema.fingerprint, "max_doc": self.spark.read.parquet(self.files.at(f"{tmp}/stored")).count(), "files": sizes, "digests": digests(self.files, tmp)}

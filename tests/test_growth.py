@@ -2,7 +2,12 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lodeseek import Index, KeywordField, Schema, TextField
 from lodeseek.functions import analysis
+from lodeseek.operators import inversion
+from lodeseek.plans.query import MatchAllQuery, TermQuery
+
+S = Schema({"id": KeywordField(stored=True), "body": TextField(stored=True)})
 
 
 def test_python_tokens_leave_before_all_texts_of_a_batch_are_analyzed(monkeypatch):
@@ -20,3 +25,69 @@ def test_python_tokens_leave_before_all_texts_of_a_batch_are_analyzed(monkeypatc
     first = next(made)
     assert len(seen) == 2 and [x and [t[0] for t in x] for x in first] == [["one", "two"], None, ["three", "four"]]
     assert [[[t[0] for t in x] for x in part] for part in made] == [[["five"]], [["six"]]]
+
+
+def test_postings_of_a_segment_are_not_exchanged(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    dealt = []
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *a: dealt.append(a) or self)
+    rows = spark.range(0, 20, 1, 4).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("word w"), F.col("id") % 3).alias("body"))
+    with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
+        w.add_dataframe(rows)
+        w.commit()
+        index.verify()
+        assert not dealt and index.open_reader().search(TermQuery("body", "w1")).total_hits == 7
+
+
+def test_a_large_file_is_staged_in_short_ones(spark, tmp_path, monkeypatch):
+    from lodeseek.sources import writer
+
+    monkeypatch.setattr(writer, "STAGE_ROWS", 2)
+    seen, read = [], inversion.dense_ids
+    monkeypatch.setattr(inversion, "dense_ids", lambda df: seen.append(len(df.inputFiles())) or read(df))
+    rows = spark.range(0, 20, 1, 1).select(F.col("id").cast("string").alias("id"), F.lit("word").alias("body"))
+    with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
+        assert w.add_dataframe(rows).max_doc == 20 and seen[0] >= 10
+        w.commit()
+        with index.open_reader() as r:
+            assert sorted(x[0] for x in r.documents.select("doc_id").collect()) == list(range(20))
+
+
+def test_partitions_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(0, 20_000, 1, 1).write.parquet(path)
+    few = inversion.spread(spark.read.parquet(path))
+    assert few.rdd.getNumPartitions() == 4
+    monkeypatch.setattr(inversion, "SPREAD_BYTES", 1 << 12)
+    many = inversion.spread(spark.read.parquet(path))
+    assert many.rdd.getNumPartitions() > 10 and many.count() == 20_000
+    assert inversion.spread(spark.createDataFrame([(1,)], "a int")).rdd.getNumPartitions() == 4
+
+
+def test_merge_renumbers_without_a_join_of_documents(spark, tmp_path):
+    ids = lambda a, b: spark.range(a, b, 1, 3).select(F.col("id").cast("string").alias("id"), F.when((F.col("id") % 64).isin(0, 5, 63) | F.col("id").between(4090, 4200), "gone").otherwise("kept").alias("body"))
+    with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
+        made = [w.add_dataframe(ids(0, 9000)).generation, w.add_dataframe(ids(9000, 9100)).generation]
+        want = [r[0] for r in ids(0, 9100).where("body = 'kept'").collect()]
+        assert w.delete_by_term("body", "gone") == 9100 - len(want)
+        assert w.merge(made).max_doc == len(want)
+        w.commit()
+        index.verify()
+        with index.open_reader() as r:
+            assert [x[0] for x in r.documents.orderBy("doc_id").select("f_id").collect()] == want
+            assert r.live_postings.where("field = 'id'").count() == len(want) and not r.live_postings.where("term = 'gone'").count()
+            assert r.norms.where("field = 'body'").count() == len(want) == len(r.search(MatchAllQuery(), 10_000).hits)
+        again = inversion.renumbered(None, {made[0]: 9000}, spark)
+        plan = again(index.segments.open(made[0])["postings"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(segment" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+def test_an_index_lives_as_far_as_it_is_asked(spark):
+    from lodeseek import queries
+
+    d = "/root/testdata/sf0.001"
+    queries._lives.clear()
+    life = queries.stored_life(spark, d, "whole")
+    assert "whole" in life and "without" not in life
+    assert queries.QUERIES["lifecycle_counts"](spark, d).first()["live_docs"] == life["merged"].num_live_docs
