@@ -23,6 +23,8 @@ OTHER = r"[^\p{L}\p{N}_]+"
 #: The stop words of the standard analyzer.
 STOPWORDS = frozenset({"the"})
 BLOCK = 16
+#: Between the words of a joined text; in no word.
+JOINT = "\0"
 PYTHON_CHARS = 1 << 18
 TOKEN_TYPE = "array<struct<term:string,position:int,start:int,end:int>>"
 TERM_TYPE = "array<struct<term:string,position:int>>"
@@ -121,6 +123,10 @@ class StandardTokenizer:
         pair = bound(F.struct(words.alias("w"), gaps.alias("g")), lambda x: F.struct(x["w"].alias("w"), lengths(x["w"], x["g"]).alias("n")))
         return F.when(text.isNotNull(), bound(pair, placed))
 
+    def joined(self, text: Column) -> Column:
+        """The words with one JOINT between them, and one before or after them where the text has other characters there."""
+        return F.regexp_replace(text, OTHER, JOINT)
+
     def terms(self, text: Column, of: Callable[[Column], Column]) -> Column:
         """of(word) and positions only: what the index needs, in time proportional to the text."""
         return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w, i: F.struct(of(w).alias("term"), i.alias("position")))
@@ -144,6 +150,9 @@ class LowercaseFilter:
     def word(self, term: Column) -> Column:
         return F.lower(term)
 
+    def joined(self, text: Column) -> Column:
+        return F.lower(text)
+
     def column(self, tokens: Column) -> Column:
         return F.transform(tokens, lambda t: t.withField("term", self.word(t["term"])))
 
@@ -172,6 +181,13 @@ class Analyzer:
         """An array of tokens; null for null."""
         return reduce(lambda tokens, f: f.column(tokens), self.filters, self.tokenizer.column(text))
 
+    def joined(self, text: Column) -> tuple[Column, frozenset[str]] | None:
+        """The terms as one string, JOINT between them, and those that are to be left out when positions have been counted; None where filters don't allow it."""
+        n = next((i for i, f in enumerate(self.filters) if not hasattr(f, "joined")), len(self.filters))
+        if not hasattr(self.tokenizer, "joined") or not all(type(f) is StopwordFilter for f in self.filters[n:]):
+            return None
+        return reduce(lambda t, f: f.joined(t), self.filters[:n], self.tokenizer.joined(text)), frozenset().union(*(f.stopwords for f in self.filters[n:]))
+
     def terms(self, text: Column) -> Column:
         """An array of (term, position), without offsets. First filters that change single words do so as these are cut: each pass over an array of structs costs more than the cutting."""
         if not hasattr(self.tokenizer, "terms"):

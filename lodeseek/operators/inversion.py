@@ -11,15 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import TERM_TYPE, analyzer_named, bound
+from ..functions.analysis import JOINT, TERM_TYPE, analyzer_named
 from ..schema import Schema
 
 KEYS = ("segment", "doc_id")
 #: Of compressed texts; their postings take some four times as much in memory.
 SPREAD_BYTES = 16 << 20
+#: Of texts inverted at a time.
+SLICE_CHARS = 1 << 22
+#: Of one Arrow batch of postings.
+OUT_ROWS = 1 << 15
 #: Documents of one row of renumbered()'s table: 64 words of 64 bits.
 BLOCK_BITS = 12
 
@@ -29,40 +36,98 @@ def field_terms(schema: Schema, name: str) -> Column:
     return F.coalesce(analyzer_named(schema[name].analyzer_name).terms(F.col(f"`f_{name}`")), F.array().cast(TERM_TYPE))
 
 
-def grouped(terms: Column, keep: bool) -> Column:
-    """Term, frequency and ascending positions, sorted by term, of an array of (term, position).
+def inverted(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Postings and norms in one pass: where term is null, a row is a document's norm, with its length as dl.
 
-    Inside a document's own row: sorted, and cut where the term changes. No exchange, and no
-    aggregation over all tokens.
+    Rows are made where the texts are. Spark cuts and lower-cases the words; they are grouped by Arrow
+    and numpy over some SLICE_CHARS of texts at a time, sorted by field, term and document there.
+    So memory doesn't grow with a partition, and a cached batch holds few terms and is passed over by its statistics.
     """
-    def cut(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+    kinds, columns = [], []
+    for n in schema.indexed:
+        made = analyzer_named(schema[n].analyzer_name).joined(F.col(f"`f_{n}`"))
+        kinds.append((n, schema[n].store_positions, None if made is None else sorted(made[1])))
+        columns.append(field_terms(schema, n) if made is None else made[0])
+    rows = docs.select(*KEYS, *[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    joint, most, batch_rows = JOINT, SLICE_CHARS, OUT_ROWS
+
+    def words_of(column, dropped):
+        """Of all documents together: distinct terms in order, and of each word its document, its term's place and its position."""
+        n = len(column)
+        if dropped is None:
+            lists, tokens = column, column.flatten()
+            words, places = tokens.field("term"), tokens.field("position").to_numpy(zero_copy_only=False)
+        else:
+            lists = pc.split_pattern(column.fill_null(""), joint)
+            words, places = lists.flatten(), None
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        docs = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        coded = pc.dictionary_encode(words)
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        terms = coded.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        if places is None:  # counted among what is a word; nothing is one where the text ends or begins with other characters
+            word = codes != (0 if len(terms) and terms[0].as_py() == "" else -1)
+            before = np.cumsum(word) - word
+            firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            places = before - np.repeat(before[firsts[lengths > 0]], lengths[lengths > 0])
+            keep = ~pc.is_in(terms, value_set=pa.array(["", *dropped], pa.string())).to_numpy(zero_copy_only=False)[codes]
+            docs, codes, places = docs[keep], codes[keep], places[keep]
+        return terms, docs, codes, places.astype(np.int32)
+
+    def field_rows(segment, doc_id, column, name, keep_places, dropped):
+        n = len(column)
+        terms, docs, codes, places = words_of(column, dropped)
+        dl = np.bincount(docs, minlength=n).astype(np.int32)
+        lengths = pa.record_batch([segment, pa.array([name] * n, pa.string()), pa.nulls(n, pa.string()), doc_id, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.array(dl)], names=names)
+        if not len(codes):
+            return [lengths]
+        key = codes * n + docs
+        order = np.argsort(key, kind="stable")  # positions rise inside a document already
+        key, places = key[order], places[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(at[1:], len(key)).astype(np.int32)
+        term, doc = key[at] // n, key[at] % n
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at.astype(np.int32), ends[-1])), pa.array(places)) if keep_places else pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int32()))
+        doc_at = pa.array(doc)
+        return [lengths, pa.record_batch([segment.take(doc_at), pa.array([name] * len(at), pa.string()), terms.take(pa.array(term)), doc_id.take(doc_at), pa.array(ends - at.astype(np.int32)), lists, pa.array(dl[doc])], names=names)]
+
+    names = ["segment", "field", "term", "doc_id", "tf", "positions", "dl"]
+
+    def run(batches):
+        for b in batches:
+            sizes = np.zeros(b.num_rows, dtype=np.int64)
+            for c, (_, _, dropped) in zip(b.columns[2:], kinds, strict=True):
+                sizes += pc.fill_null(pc.list_value_length(c) if dropped is None else pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(sizes) - sizes) // most
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                s = b.slice(i, j - i)
+                for c, kind in zip(s.columns[2:], kinds, strict=True):
+                    for out in field_rows(s.column(0), s.column(1), c, *kind) if j > i else ():
+                        for at in range(0, out.num_rows, batch_rows):
+                            yield out.slice(at, batch_rows)
+
+    return rows.mapInArrow(run, "segment int, field string, term string, doc_id long, tf int, positions array<int>, dl int")
 
-        def runs(starts: Column) -> Column:
-            def run(at: Column, j: Column) -> Column:
-                n = F.coalesce(F.get(starts, j + 1), F.size(s)) - at
-                places = F.transform(F.slice(s, at + 1, n), lambda x: x["position"]) if keep else F.array().cast("array<int>")
-                return F.struct(F.get(s, at)["term"].alias("term"), n.cast("int").alias("tf"), places.alias("positions"))
 
-            return F.transform(starts, run)
-
-        return bound(starts, runs)
+def postings(docs: DataFrame, schema: Schema) -> DataFrame:
+    """Frequency and ascending positions of each term in each document."""
+    return postings_of(inverted(docs, schema))
 
-    return bound(F.sort_array(terms), cut)
 
+def postings_of(made: DataFrame) -> DataFrame:
+    return made.where("term is not null")
 
-def postings(docs: DataFrame, schema: Schema) -> DataFrame:
-    """Frequency and ascending positions of each term in each document: rows are made where the texts are."""
-    def inverted(n: str) -> Column:
-        return bound(field_terms(schema, n), lambda t: F.struct(F.lit(n).alias("field"), F.size(t).alias("dl"), grouped(t, schema[n].store_positions).alias("terms")))
 
-    f = docs.select(*KEYS, F.explode(F.array(*[inverted(n) for n in schema.indexed])).alias("f"))
-    t = f.select(*KEYS, "f.field", "f.dl", F.explode("f.terms").alias("t"))
-    return t.select("segment", "field", "t.term", "doc_id", "t.tf", "t.positions", "dl")
+def norms_of(made: DataFrame) -> DataFrame:
+    return made.where("term is null").select("segment", "field", "doc_id", F.col("dl").alias("length"))
 
 
 def norms(docs: DataFrame, schema: Schema) -> DataFrame:
-    """Analyzed lengths, 0 too; a pass of its own over the texts that groups nothing."""
+    """Analyzed lengths, 0 too; a pass of its own over the texts that groups nothing, for whom needs no postings."""
     per_field = F.array(*[F.struct(F.lit(n).alias("field"), F.size(field_terms(schema, n)).alias("length")) for n in schema.indexed])
     return docs.select(*KEYS, F.explode(per_field).alias("f")).select("segment", "f.field", "doc_id", "f.length")
 
@@ -113,7 +178,7 @@ def renumbered(dead: DataFrame | None, sizes: Mapping[int, int], spark: SparkSes
 
     No join of a table's rows with documents: who is dead is a bit, 64 words of them a row with the
     counts of the dead before each, and how many live before each 4,096 documents is known to the
-    driver. So the broadcast table takes some two bits a document.
+    driver. So the broadcast table takes some two bits a document. Where nobody is dead, it has no words.
     """
     word, block = F.shiftright("doc_id", 6).bitwiseAND(63).cast("int"), F.shiftright("doc_id", BLOCK_BITS)
     bit = lambda of: F.call_function("shiftleft", F.lit(of).cast("long"), F.col("doc_id").bitwiseAND(63).cast("int"))
@@ -130,14 +195,19 @@ def renumbered(dead: DataFrame | None, sizes: Mapping[int, int], spark: SparkSes
         for b in range(-(-n >> BLOCK_BITS)):
             starts.append((segment, b, total))
             total += min(1 << BLOCK_BITS, n - (b << BLOCK_BITS)) - gone.get((segment, b), 0)
-    blocks = spark.createDataFrame(starts, "_s int, _b long, _start long").join(words, ["_s", "_b"], "left")
+    blocks = spark.createDataFrame(starts, "_s int, _b long, _start long")
+    if gone:
+        blocks = blocks.join(words, ["_s", "_b"], "left")
 
     def again(df: DataFrame) -> DataFrame:
         own = df.join(F.broadcast(blocks), (F.col("segment") == F.col("_s")) & (block == F.col("_b")))
+        at = F.col("_start") + F.col("doc_id").bitwiseAND((1 << BLOCK_BITS) - 1)
+        if not gone:
+            return own.withColumn("doc_id", at).drop("_s", "_b", "_start")
         mine = F.get("_words", word)
         live = own.where(F.col("_words").isNull() | (mine.bitwiseAND(bit(1)) == 0))
         before = F.coalesce(F.get("_ranks", word) + F.bit_count(mine.bitwiseAND(F.bitwise_not(bit(-1)))), F.lit(0))
-        return live.withColumn("doc_id", F.col("_start") + F.col("doc_id").bitwiseAND((1 << BLOCK_BITS) - 1) - before).drop("_s", "_b", "_start", "_words", "_ranks")
+        return live.withColumn("doc_id", at - before).drop("_s", "_b", "_start", "_words", "_ranks")
 
     return again
 

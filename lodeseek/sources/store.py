@@ -162,13 +162,19 @@ class Segments:
         return generation
 
     def publish(self, generation: int, tables: Mapping[str, DataFrame]) -> SegmentDescriptor:
-        """Writes beside, describes, renames; a failure leaves nothing under the segment's name."""
+        """tables: stored, and postings and norms or inverted, which is both and is written in one pass.
+
+        Writes beside, describes, renames; a failure leaves nothing under the segment's name.
+        """
         if self.files.exists(segment_dir(generation)):
             raise FileExistsError(segment_dir(generation))
         tmp = f"segments/.tmp-{uuid.uuid4().hex}"
         try:
             for name, df in tables.items():
                 w = df.drop("segment")
+                if name == "inverted":
+                    self._publish_inverted(w, tmp)
+                    continue
                 if name == "postings":
                     w = w.sortWithinPartitions("field", "term", "doc_id")
                 w.write.option("maxRecordsPerFile", FILE_ROWS[name]).parquet(self.files.at(f"{tmp}/{name}"))
@@ -181,6 +187,17 @@ class Segments:
             raise
         return SegmentDescriptor(generation, self.schema.fingerprint, about["max_doc"], self.files.at(segment_dir(generation)))
 
+    def _publish_inverted(self, made: DataFrame, tmp: str) -> None:
+        norm = F.col("term").isNull()
+        both = made.withColumn("length", F.when(norm, F.col("dl"))).withColumn("_table", F.when(norm, "norms").otherwise("postings"))
+        both.sortWithinPartitions("_table", "field", "term", "doc_id").write.partitionBy("_table").option("maxRecordsPerFile", FILE_ROWS["postings"]).parquet(self.files.at(f"{tmp}/inverted"))
+        for name in ("postings", "norms"):
+            if self.files.exists(f"{tmp}/inverted/_table={name}"):
+                self.files.rename(f"{tmp}/inverted/_table={name}", f"{tmp}/{name}")
+            else:  # no document has a term
+                made.withColumn("length", F.col("dl")).limit(0).write.parquet(self.files.at(f"{tmp}/{name}"))
+        self.files.remove(f"{tmp}/inverted")
+
     def describe(self, generation: int, deep: bool | None = None) -> dict:
         """segment.json, after the files it names have been checked."""
         where = segment_dir(generation)
@@ -209,7 +226,7 @@ class Segments:
 
         def read(name: str, schema: str, *columns: str) -> DataFrame:
             df = self.spark.read.schema(schema).parquet(*[self.files.at(f"{segment_dir(g)}/{name}") for g in generations])
-            segment = F.lit(generations[0]) if len(generations) == 1 else F.regexp_extract("_metadata.file_path", r"/segments/seg_(\d+)/", 1).cast("int")
+            segment = F.lit(generations[0]) if len(generations) == 1 else F.substring(F.substring_index(F.substring_index("_metadata.file_path", "/", -3), "/", 1), 5, 20).cast("int")  # seg_…/name/file
             return df.select(segment.alias("segment"), *columns)
 
         stored = ["doc_id", *(f"`f_{n}`" for n in self.schema.stored)]

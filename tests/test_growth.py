@@ -91,3 +91,37 @@ def test_an_index_lives_as_far_as_it_is_asked(spark):
     life = queries.stored_life(spark, d, "whole")
     assert "whole" in life and "without" not in life
     assert queries.QUERIES["lifecycle_counts"](spark, d).first()["live_docs"] == life["merged"].num_live_docs
+
+
+def test_one_pass_makes_postings_and_norms(spark, monkeypatch):
+    texts = [None, "", "the", " ,", "the cat\0the_2 Cat, THE cat", "ΟΔΟΣ ΟΔΟΣ, Σ İx 你好 É", "x" * 50 + " a b a", ". b a", "naïve ½ 3½ b"] * 3
+    rows = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(texts)], "segment int, doc_id long, f_id string, f_body string").coalesce(1)
+    for most in (1 << 22, 20):  # in one slice, in many
+        monkeypatch.setattr(inversion, "SLICE_CHARS", most)
+        made = inversion.inverted(rows, S)
+        want, lengths = set(), set()
+        for i, t in enumerate(texts):
+            for name, an in (("id", analysis.KeywordAnalyzer()), ("body", analysis.StandardAnalyzer())):
+                tokens = an.analyze(t or "")
+                lengths.add((name, i, len(tokens)))
+                for term in {x.term for x in tokens}:
+                    places = tuple(x.position for x in tokens if x.term == term)
+                    want.add((name, term, i, len(places), places if name == "body" else (), len(tokens)))
+        got = inversion.postings_of(made).collect()
+        assert {(r["field"], r["term"], r["doc_id"], r["tf"], tuple(r["positions"]) if r["field"] == "body" else (), r["dl"]) for r in got} == want and len(got) == len(want)
+        norms = inversion.norms_of(made).collect()
+        assert {(r["field"], r["doc_id"], r["length"]) for r in norms} == lengths and len(norms) == len(lengths)
+
+
+def test_a_merge_without_dead_documents_adds_a_start_and_no_words(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 2).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("word w"), F.col("id") % 3).alias("body"))
+    with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
+        made = [w.add_dataframe(rows.where(f"id % 2 = {i}")).generation for i in (1, 0)]
+        plan = inversion.renumbered(None, {g: 20 for g in made}, spark)(index.segments.all(made)["postings"])._jdf.queryExecution().executedPlan().toString()
+        assert "_words" not in plan and "regexp" not in plan
+        assert w.merge(made).max_doc == 40
+        w.commit()
+        index.verify()
+        with index.open_reader() as r:
+            assert [x[0] for x in r.documents.orderBy("doc_id").select("f_id").collect()] == [str(i) for i in (*range(1, 40, 2), *range(0, 40, 2))]
+            assert r.live_postings.where("field = 'id'").select("term", "doc_id").join(r.documents, "doc_id").where("term = f_id").count() == 40 == r.num_live_docs
