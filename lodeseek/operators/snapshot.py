@@ -51,12 +51,12 @@ class CorpusStats:
 
 
 class IndexSnapshot:
-    """tables: postings, norms, stored. deleted: segment, doc_id, or None."""
+    """tables: postings, norms, stored. deleted: segment, doc_id, or None. made: what postings and norms are both parts of, if it is one frame."""
 
-    def __init__(self, schema: Schema, tables: Mapping[str, DataFrame], deleted: DataFrame | None = None, commit_generation: int | None = None, on_close=None):
+    def __init__(self, schema: Schema, tables: Mapping[str, DataFrame], deleted: DataFrame | None = None, commit_generation: int | None = None, on_close=None, made: DataFrame | None = None):
         self.schema, self.commit_generation, self._tables, self._deleted, self._on_close = schema, commit_generation, dict(tables), deleted, on_close
         self.spark: SparkSession = tables["stored"].sparkSession
-        self._closed, self._frequencies = False, {}
+        self._closed, self._frequencies, self._made = False, {}, made
 
     @classmethod
     def of_documents(cls, docs: DataFrame, schema: Schema, id_col: str | None = None, segment: int = 0) -> IndexSnapshot:
@@ -64,20 +64,26 @@ class IndexSnapshot:
         if id_col is None:
             schema.check_columns(docs.schema)
             d = inversion.dense_ids(inversion.numbered(inversion.named(docs)).cache())
-            d = d.withColumn("segment", F.lit(segment))
+            own = dealt = d.withColumn("segment", F.lit(segment))
         else:
             schema.check_columns(docs.drop(id_col).schema)
-            d = inversion.spread(docs).select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col])
-        d = inversion.with_all_fields(d, schema)
-        return cls(schema, {"postings": inversion.postings(d, schema), "norms": inversion.norms(d, schema), "stored": inversion.stored(d, schema)})
-
-    def cache(self) -> IndexSnapshot:
-        for t in self._tables.values():
+            own, dealt = [x.select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col]) for x in (docs, inversion.spread(docs))]
+        made = inversion.inverted(inversion.with_all_fields(dealt, schema), schema)
+        tables = {"postings": inversion.postings_of(made), "norms": inversion.norms_of(made), "stored": inversion.stored(inversion.with_all_fields(own, schema), schema)}
+        return cls(schema, tables, made=made)
+
+    def _kept(self, stored: bool = True) -> list[DataFrame]:
+        inverted = [self._tables["postings"], self._tables["norms"]] if self._made is None else [self._made]
+        return inverted + [self._tables["stored"]] * stored
+
+    def cache(self, stored: bool = True) -> IndexSnapshot:
+        """stored=False: texts that can be read again, as from files, aren't kept a second time."""
+        for t in self._kept(stored):
             t.cache()
         return self
 
     def uncache(self) -> IndexSnapshot:
-        for t in self._tables.values():
+        for t in self._kept():
             t.unpersist()
         return self
 
@@ -149,9 +155,15 @@ class IndexSnapshot:
 
     # statistics
 
+    @cached_property
+    def _lengths(self) -> dict[str, tuple[int, int, int]]:
+        """By indexed field: summed lengths, documents with a length, live documents."""
+        return {r[0]: tuple(r[1:]) for r in self.norms.groupBy("field").agg(F.sum("length"), F.count_if(F.col("length") > 0), F.count("*")).collect()}
+
     @cached_property
     def num_live_docs(self) -> int:
-        return self.documents.count()
+        """By the norms, which are narrow and have a row for each document and indexed field."""
+        return max((n for _, _, n in self._lengths.values()), default=0) if self.schema.indexed else self.documents.count()
 
     @cached_property
     def max_doc(self) -> int:
@@ -160,8 +172,7 @@ class IndexSnapshot:
 
     @cached_property
     def stats(self) -> CorpusStats:
-        rows = self.norms.where("length > 0").groupBy("field").agg(F.sum("length").alias("s"), F.count("*").alias("n")).collect()
-        return CorpusStats(self.num_live_docs, {r["field"]: r["s"] / r["n"] for r in rows})
+        return CorpusStats(self.num_live_docs, {f: s / n for f, (s, n, _) in self._lengths.items() if n})
 
     def doc_frequencies(self, pairs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Live documents with each (field, term): one job for those not asked for before."""

@@ -113,6 +113,20 @@ def test_one_pass_makes_postings_and_norms(spark, monkeypatch):
         assert {(r["field"], r["doc_id"], r["length"]) for r in norms} == lengths and len(norms) == len(lengths)
 
 
+def test_a_search_analyzes_texts_once_and_keeps_no_texts(spark):
+    from lodeseek import queries
+
+    d = "/root/testdata/sf0.001"
+    queries._kept.clear()
+    spark.catalog.clearCache()
+    docs = queries.documents(spark, d)
+    frame = queries.QUERIES["bool_must"](spark, d)
+    frame.collect()
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs()
+    assert kept.size() == 1 and "MapInArrow" in kept.values().toList().mkString()
+    assert docs.num_live_docs == docs.documents.count()
+
+
 def test_a_merge_without_dead_documents_adds_a_start_and_no_words(spark, tmp_path):
     rows = spark.range(0, 40, 1, 2).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("word w"), F.col("id") % 3).alias("body"))
     with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
