@@ -68,8 +68,8 @@ class IndexSnapshot:
         else:
             schema.check_columns(docs.drop(id_col).schema)
             own, dealt = [x.select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col]) for x in (docs, inversion.spread(docs))]
-        made = inversion.inverted(inversion.with_all_fields(dealt, schema), schema)
-        tables = {"postings": inversion.postings_of(made), "norms": inversion.norms_of(made), "stored": inversion.stored(inversion.with_all_fields(own, schema), schema)}
+        made = inversion.blocks(inversion.with_all_fields(dealt, schema), schema)
+        tables = {"postings": inversion.postings_in(made), "norms": inversion.norms_in(made), "stored": inversion.stored(inversion.with_all_fields(own, schema), schema)}
         return cls(schema, tables, made=made)
 
     def _kept(self, stored: bool = True) -> list[DataFrame]:

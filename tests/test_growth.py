@@ -1,4 +1,6 @@
 """Work that must not gather in one task, one batch or one plan as tables grow."""
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -139,3 +141,24 @@ def test_a_merge_without_dead_documents_adds_a_start_and_no_words(spark, tmp_pat
         with index.open_reader() as r:
             assert [x[0] for x in r.documents.orderBy("doc_id").select("f_id").collect()] == [str(i) for i in (*range(1, 40, 2), *range(0, 40, 2))]
             assert r.live_postings.where("field = 'id'").select("term", "doc_id").join(r.documents, "doc_id").where("term = f_id").count() == 40 == r.num_live_docs
+
+
+def test_a_session_keeps_a_terms_postings_together(spark, monkeypatch):
+    from lodeseek.operators.snapshot import IndexSnapshot
+
+    unplaced = Schema({"id": KeywordField(stored=True), "body": TextField(stored=True), "bare": replace(TextField(stored=True), store_positions=False)})
+    texts = [None, "", "the", "a b a c", "the cat\0the_2 Cat, THE cat", "ΟΔΟΣ ΟΔΟΣ, Σ İx 你好 É", "b a", "lone", "c c"] * 30
+    rows = spark.createDataFrame([(i % 2, (i << 33) - 7, str(i), t, t) for i, t in enumerate(texts)], "segment int, doc_id long, f_id string, f_body string, f_bare string").coalesce(1)
+    for most in (1 << 22, 20):
+        monkeypatch.setattr(inversion, "SLICE_CHARS", most)
+        for some in (rows.where("segment = 0"), rows, rows.where("f_id is null")):
+            flat, made = inversion.inverted(some, unplaced), inversion.blocks(some, unplaced)
+            for want, got in ((inversion.postings_of(flat), inversion.postings_in(made)), (inversion.norms_of(flat), inversion.norms_in(made))):
+                assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.undo()
+    docs = spark.range(0, 6000, 1, 1).select("id", F.concat(F.lit("x y z word"), F.col("id") % 7).alias("body"))
+    index = IndexSnapshot.of_documents(docs, Schema({"body": TextField()}), id_col="id")
+    assert index._made.where("term is not null").count() <= 10 * index._made.rdd.getNumPartitions() and index.live_postings.count() == 24_000
+    # a term is looked for among blocks, before they are taken apart
+    plan = index.live_postings.where("field = 'body' and term = 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("= x)") < plan.index("MapInArrow")
