@@ -26,8 +26,8 @@ from ..functions.analysis import JOINT, TERM_TYPE, analyzer_named
 from ..schema import Schema
 
 KEYS = ("segment", "doc_id")
-#: Of compressed texts; their postings take some four times as much in memory.
-SPREAD_BYTES = 16 << 20
+#: Of rows, which are mostly texts; their postings take some four times as much in memory.
+SPREAD_BYTES = 28 << 20
 #: Of texts inverted at a time.
 SLICE_CHARS = 1 << 22
 #: Of one Arrow batch of postings.
@@ -200,12 +200,17 @@ def named(df: DataFrame, *more) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, and in partitions of some SPREAD_BYTES of what it is read from: a table in one file, or in few, would be analyzed by few tasks, and a task's postings would grow with the table."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(n for n in sizes if n < 1 << 60)  # Spark's way to say that it doesn't know
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """df over all cores, and in partitions of some SPREAD_BYTES of what is in its rows: a table in one file, or in few, would be analyzed by few tasks, and a task's postings would grow with the table.
+
+    The bytes are counted by partition, in a pass over lengths: the size of files says little where texts repeat, and
+    neither it nor the number of partitions tells that one of them has most rows.
+    """
+    held = {f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")}
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") if c in held else F.lit(0) for c in df.columns]
+    size = sum(lengths, F.lit(8 * len(lengths)).cast("long"))
+    sizes = [n for _, n in df.groupBy(F.spark_partition_id()).agg(F.sum(size)).collect()]
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // SPREAD_BYTES))
+    return df.repartition(wanted) if len(sizes) < wanted or max(sizes) > 2 * SPREAD_BYTES else df
 
 
 def with_all_fields(df: DataFrame, schema: Schema) -> DataFrame:

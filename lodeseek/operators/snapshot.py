@@ -64,7 +64,8 @@ class IndexSnapshot:
         if id_col is None:
             schema.check_columns(docs.schema)
             d = inversion.dense_ids(inversion.numbered(inversion.named(docs)).cache())
-            own = dealt = d.withColumn("segment", F.lit(segment))
+            own = d.withColumn("segment", F.lit(segment))
+            dealt = inversion.spread(own)
         else:
             schema.check_columns(docs.drop(id_col).schema)
             own, dealt = [x.select(F.lit(segment).alias("segment"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"f_{c}") for c in docs.columns if c != id_col]) for x in (docs, inversion.spread(docs))]

@@ -2,6 +2,7 @@
 from dataclasses import replace
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lodeseek import Index, KeywordField, Schema, TextField
@@ -67,6 +68,50 @@ def test_partitions_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch)
     assert inversion.spread(spark.createDataFrame([(1,)], "a int")).rdd.getNumPartitions() == 4
 
 
+def test_partitions_are_of_so_much_text_however_it_is_stored(spark, tmp_path, monkeypatch):
+    from lodeseek.operators.snapshot import IndexSnapshot
+
+    monkeypatch.setattr(inversion, "SPREAD_BYTES", 1 << 14)
+    of = lambda df: [r[1] for r in df.groupBy(F.spark_partition_id()).agg(F.sum(F.length("body"))).collect()]
+    path, text = str(tmp_path / "t"), F.lit("one text many times over " * 8).alias("body")
+    spark.range(0, 2_000, 1, 1).select("id", text).write.parquet(path)  # 400 kB of texts, which Parquet stores once
+    rows = spark.read.parquet(path)
+    assert max(of(inversion.spread(rows))) <= 2 << 14 and inversion.spread(rows).count() == 2_000
+    # enough partitions, of which one has nearly all
+    uneven = spark.range(0, 100, 1, 100).select("id", F.lit("x").alias("body")).union(spark.range(100, 2_100, 1, 1).select("id", text))
+    assert max(of(inversion.spread(uneven))) <= 2 << 14 and inversion.spread(uneven).count() == 2_100
+    # and where most are empty
+    hollow = rows.coalesce(1).union(spark.range(0, 0, 1, 100).select("id", text))
+    assert max(of(inversion.spread(hollow))) <= 2 << 14
+    # those that are small enough stay
+    even = spark.range(0, 2_000, 1, 40).select("id", text)
+    assert "RepartitionByExpression" not in inversion.spread(even)._jdf.queryExecution().optimizedPlan().toString() and inversion.spread(even) is even
+    for made in (IndexSnapshot.of_documents(rows, Schema({"body": TextField()}), id_col="id"), IndexSnapshot.of_documents(rows.select("body"), Schema({"body": TextField()}))):
+        assert made._made.rdd.getNumPartitions() > 20 and made.search(TermQuery("body", "many")).total_hits == 2_000
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """2,000 documents of two texts, which Parquet stores once each; kept in partitions of few of them."""
+    d = str(tmp_path_factory.mktemp("repeated"))
+    text = F.when(F.col("doc_id") % 2 == 0, "of that with and whist " * 8).otherwise("that by von " * 16)
+    spark.range(0, 2_000, 1, 1).toDF("doc_id").select("doc_id", text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(f"{d}/documents.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(inversion, "SPREAD_BYTES", 1 << 14)
+        yield d
+
+
+@pytest.mark.parametrize(("name", "rows"), [("bool_must", 1_000)])
+def test_a_task_of_a_search_reads_so_much_text_however_it_is_stored(spark, repeated, name, rows):
+    from lodeseek import queries
+
+    frame = queries.QUERIES[name](spark, repeated)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert frame.count() == rows and "InMemoryTableScan" in plan and "Scan parquet" not in plan.split("InMemoryRelation")[0]
+    words = [r[1] for r in queries.documents(spark, repeated).norms.where("field = 'text'").groupBy(F.spark_partition_id()).agg(F.sum("length")).collect()]
+    assert sum(words) == 1_000 * (40 + 48) and max(words) <= 8_000
+
+
 def test_merge_renumbers_without_a_join_of_documents(spark, tmp_path):
     ids = lambda a, b: spark.range(a, b, 1, 3).select(F.col("id").cast("string").alias("id"), F.when((F.col("id") % 64).isin(0, 5, 63) | F.col("id").between(4090, 4200), "gone").otherwise("kept").alias("body"))
     with Index.create(spark, str(tmp_path / "ix"), S) as index, index.writer() as w:
