@@ -101,7 +101,7 @@ def repeated(spark, tmp_path_factory):
         yield d
 
 
-@pytest.mark.parametrize(("name", "rows"), [("bool_must", 1_000), ("bm25_custom_k1b", 2_000), ("bool_duplicate", 2_000), ("bool_must_not", 1_000), ("bool_must_should", 2_000), ("bool_nested", 2_000), ("bool_nested_by_joins", 2_000), ("bool_should", 2_000), ("bool_with_prefix", 1_000)])
+@pytest.mark.parametrize(("name", "rows"), [("bool_must", 1_000), ("bm25_custom_k1b", 2_000), ("bool_duplicate", 2_000), ("bool_must_not", 1_000), ("bool_must_should", 2_000), ("bool_nested", 2_000), ("bool_nested_by_joins", 2_000), ("bool_should", 2_000), ("bool_with_prefix", 1_000), ("collect_then_fetch", 10)])
 def test_a_task_of_a_search_reads_so_much_text_however_it_is_stored(spark, repeated, name, rows):
     from lodeseek import queries
 
